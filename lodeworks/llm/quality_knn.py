@@ -1,6 +1,6 @@
 """Quality classifier: similarity-weighted vote of the nearest labelled documents in a latent-semantic space.
 
-The terms are pairs of neighbouring character classes and hashed words. A truncated singular value decomposition of the
+The terms are pairs of neighbouring character classes, hashed words, and repeated words and word 4-grams. A truncated singular value decomposition of the
 labelled documents' weighted counts gives the latent space; the labelled vectors are broadcast (their number is bounded
 by ``max_labelled``) and each batch of documents takes exact cosines against all of them, block by block.
 """
@@ -47,16 +47,20 @@ def _classes() -> np.ndarray:
 
 CLASSES = _classes()
 N_CLASSES = int(CLASSES.max()) + 1
-TERMS = N_CLASSES * N_CLASSES + WORD_TERMS
+PAIRS = N_CLASSES * N_CLASSES
+REPEATS = 3
+TERMS = PAIRS + WORD_TERMS + REPEATS
+#: (first term, end, weight) of the blocks of terms; a block's counts become shares, so texts of any length compare.
+BLOCKS = ((0, PAIRS, 1.0), (PAIRS, PAIRS + WORD_TERMS, 0.3), (PAIRS + WORD_TERMS, TERMS, 1.0))
 
 
 class _Words(dict):
-    """Word -> its hashed term; emptied when it has grown large."""
+    """Word -> its hash; emptied when it has grown large."""
 
     def __missing__(self, word: bytes) -> int:
         if len(self) > 300_000:
             self.clear()
-        self[word] = out = N_CLASSES * N_CLASSES + zlib.crc32(word) % WORD_TERMS
+        self[word] = out = zlib.crc32(word)
         return out
 
 
@@ -67,12 +71,20 @@ def counts(texts: list[str | None], words: _Words) -> np.ndarray:
         raw = (text or "").encode("utf-8", "surrogatepass")
         kinds = CLASSES[np.frombuffer(raw, np.uint8)]
         if len(kinds) > 1:
-            out[i, : N_CLASSES * N_CLASSES] = np.bincount(kinds[:-1] * N_CLASSES + kinds[1:], minlength=N_CLASSES * N_CLASSES)
+            out[i, :PAIRS] = np.bincount(kinds[:-1] * N_CLASSES + kinds[1:], minlength=PAIRS)
         if own := raw.lower().split():
-            out[i] += np.bincount(np.fromiter(map(words.__getitem__, own), np.int64, len(own)), minlength=TERMS)
+            h = np.fromiter(map(words.__getitem__, own), np.uint64, len(own))
+            out[i, PAIRS : PAIRS + WORD_TERMS] = np.bincount((h % np.uint64(WORD_TERMS)).astype(np.int64), minlength=WORD_TERMS)
+            adjacent = int((h[1:] == h[:-1]).sum())
+            grams = h[:-3] * np.uint64(0x9E3779B97F4A7C15) + h[1:-2] * np.uint64(0xC2B2AE3D27D4EB4F) + h[2:-1] * np.uint64(0x165667B19E3779F9) + h[3:]
+            out[i, -REPEATS:] = adjacent, len(grams) - len(np.unique(grams)), len(h)
     return out
 
 
+def weighted(x: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.float32(w) * np.sqrt(x[:, a:b] / np.maximum(x[:, a:b].sum(1, keepdims=True), 1)) for a, b, w in BLOCKS], 1)
+
+
 @dataclass
 class LatentVotes:
     idf: np.ndarray
@@ -84,10 +96,7 @@ class LatentVotes:
     sharpness: float
 
     def vectors_of(self, x: np.ndarray) -> np.ndarray:
-        # shares of a text, not counts: long and short texts of one kind lie close together
-        pairs = N_CLASSES * N_CLASSES
-        x = np.concatenate([np.sqrt(x[:, :pairs] / np.maximum(x[:, :pairs].sum(1, keepdims=True), 1)), 0.3 * np.sqrt(x[:, pairs:] / np.maximum(x[:, pairs:].sum(1, keepdims=True), 1))], 1)
-        z = (x * self.idf) @ self.basis
+        z = (weighted(x) * self.idf) @ self.basis
         return z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
 
     def score(self, x: np.ndarray) -> np.ndarray:
@@ -107,9 +116,9 @@ def learn(x: np.ndarray, y: np.ndarray, dims: int = 48, neighbours: int = 15, sh
     if not len(y):
         return LatentVotes(np.ones(TERMS, np.float32), np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), 0.5, neighbours, sharpness)
     idf = np.log((1 + len(x)) / (1 + (x > 0).sum(0))).astype(np.float32) + np.float32(0.1)
+    idf[-REPEATS:] = 1
     model = LatentVotes(idf, np.eye(1, dtype=np.float32), np.zeros((0, 1), np.float32), np.zeros(0), float(y.mean()), neighbours, sharpness)
-    pairs = N_CLASSES * N_CLASSES
-    w = np.concatenate([np.sqrt(x[:, :pairs] / np.maximum(x[:, :pairs].sum(1, keepdims=True), 1)), 0.3 * np.sqrt(x[:, pairs:] / np.maximum(x[:, pairs:].sum(1, keepdims=True), 1))], 1) * idf
+    w = weighted(x) * idf
     q = np.random.default_rng(seed).standard_normal((TERMS, min(dims + 10, len(x)))).astype(np.float32)
     for _ in range(4):  # randomised subspace iteration
         q, _ = np.linalg.qr(w.T @ (w @ q))
