@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bin_slack, quality_knn, toxic_cnn
+from . import bin_slack, license_rules, line_quality, link_graph, quality_knn, toxic_cnn, winnowing
 from .common import held_out, table
 
 
@@ -24,6 +24,24 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op4_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_rules.licences(table(spark, sf_dir, "documents"))
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = winnowing.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.array_join("items", ",").cast("binary"), 256)
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op6_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_quality.judged(table(spark, sf_dir, "documents"))
+
+
+def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_graph.judged(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "labels")
     model = toxic_cnn.train(docs, labels, ~held_out(F.col("doc_id")))
@@ -39,7 +57,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
+        "op4_licences": op4_licences,
+        "op5_decontamination": op5_decontamination,
+        "op6_line_quality": op6_line_quality,
         "op8_toxicity": op8_toxicity,
+        "op9_urls": op9_urls,
         "op10_packing": op10_packing,
     }
 
