@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bin_slack, license_rules, line_quality, link_graph, quality_knn, toxic_cnn, winnowing
+from .oracles import oracle_sql as oracle_sql
 from .common import held_out, table
 
 
@@ -66,5 +67,3 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
-def oracle_sql() -> dict[str, str]:
-    return {}
