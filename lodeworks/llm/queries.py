@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bin_slack, license_rules, line_quality, link_graph, quality_knn, toxic_cnn, winnowing
+from . import bin_slack, license_rules, line_quality, link_graph, quality_knn, recompress, toxic_cnn, winnowing
 from .oracles import oracle_sql as oracle_sql
 from .common import held_out, table
 
@@ -43,6 +43,10 @@ def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_graph.judged(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompress.deduplicate(table(spark, sf_dir, "documents"), with_text=False)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "labels")
     model = toxic_cnn.train(docs, labels, ~held_out(F.col("doc_id")))
@@ -61,6 +65,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_licences": op4_licences,
         "op5_decontamination": op5_decontamination,
         "op6_line_quality": op6_line_quality,
+        "op7_substrings": op7_substrings,
         "op8_toxicity": op8_toxicity,
         "op9_urls": op9_urls,
         "op10_packing": op10_packing,
