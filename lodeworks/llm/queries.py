@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bin_slack, license_rules, line_quality, link_graph, quality_knn, recompress, toxic_cnn, winnowing
+from . import bin_slack, hyperminhash, license_rules, line_quality, link_graph, quality_knn, recompress, toxic_cnn, winnowing
 from .oracles import oracle_sql as oracle_sql
 from .common import held_out, table
 
@@ -25,6 +25,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyperminhash.near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
+
+
 def op4_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_rules.licences(table(spark, sf_dir, "documents"))
 
@@ -62,6 +66,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
+        "op2_near_duplicates": op2_near_duplicates,
         "op4_licences": op4_licences,
         "op5_decontamination": op5_decontamination,
         "op6_line_quality": op6_line_quality,
