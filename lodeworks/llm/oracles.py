@@ -97,5 +97,20 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(len(d.w) - coalesce(k
 FROM docs d LEFT JOIN kept k USING (doc_id)"""
 
 
+OP3 = f"""
+WITH RECURSIVE raw AS (SELECT doc_id, unnest(CASE WHEN coalesce(text, '') = '' THEN [] ELSE string_split(text, chr(10)) END) AS line,
+  generate_subscripts(CASE WHEN coalesce(text, '') = '' THEN [] ELSE string_split(text, chr(10)) END, 1) AS pos FROM documents),
+norm AS (SELECT *, trim(regexp_replace(translate(line, '{_UP}', '{_LOW}'), '[\\x20\\x09-\\x0D]+', ' ', 'g')) AS x FROM raw),
+occ AS (SELECT doc_id, pos, x FROM norm WHERE length(x) >= 20),
+own AS (SELECT x, length(x) AS n, min({{'d': doc_id, 'pos': pos}}) AS first FROM occ GROUP BY x),
+edges AS (SELECT a.x AS a, b.x AS b FROM own a JOIN own b ON b.n BETWEEN a.n - 2 AND a.n + 2 AND a.x <> b.x AND levenshtein(a.x, b.x) <= 2),
+reach(x, root) AS (SELECT x, x FROM own UNION SELECT e.b, r.root FROM reach r JOIN edges e ON e.a = r.x),
+class AS (SELECT r.x, min(o.first) AS first FROM reach r JOIN own o ON o.x = r.root GROUP BY r.x),
+gone AS (SELECT o.doc_id, o.pos FROM occ o JOIN class c USING (x) WHERE c.first <> {{'d': o.doc_id, 'pos': o.pos}}),
+kept AS (SELECT r.doc_id, string_agg(line, chr(10) ORDER BY r.pos) AS t FROM raw r ANTI JOIN gone g ON g.doc_id = r.doc_id AND g.pos = r.pos GROUP BY r.doc_id)
+SELECT d.doc_id, (SELECT count(*) FROM raw r WHERE r.doc_id = d.doc_id) AS n_lines, (SELECT count(*) FROM gone g WHERE g.doc_id = d.doc_id) AS n_removed, sha256(coalesce(k.t, '')) AS kept_sha256
+FROM documents d LEFT JOIN kept k USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_near_duplicates": OP2, "op4_licences": _op4(), "op5_decontamination": OP5, "op6_line_quality": OP6, "op7_substrings": OP7}
+    return {"op3_lines": OP3, "op2_near_duplicates": OP2, "op4_licences": _op4(), "op5_decontamination": OP5, "op6_line_quality": OP6, "op7_substrings": OP7}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bin_slack, hyperminhash, license_rules, line_quality, link_graph, quality_knn, recompress, toxic_cnn, winnowing
+from . import bin_slack, hyperminhash, license_rules, line_edit, line_quality, link_graph, quality_knn, recompress, toxic_cnn, winnowing
 from .oracles import oracle_sql as oracle_sql
 from .common import held_out, table
 
@@ -29,6 +29,11 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hyperminhash.near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
 
 
+def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_edit.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept_text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
 def op4_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_rules.licences(table(spark, sf_dir, "documents"))
 
@@ -67,6 +72,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
         "op2_near_duplicates": op2_near_duplicates,
+        "op3_lines": op3_lines,
         "op4_licences": op4_licences,
         "op5_decontamination": op5_decontamination,
         "op6_line_quality": op6_line_quality,
