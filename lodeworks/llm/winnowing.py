@@ -74,7 +74,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, k: int =
     prints = fingerprints(texts, k, window)
     entry = lambda size, m, i: F.struct(F.lit(size).alias("len"), m.alias("print"), i.alias("at"))
     runs = F.filter(F.transform("_minima", lambda m, i: F.when((i == 0) | (m != F.get("_minima", i - 1)), entry(window, m, i))), lambda x: x.isNotNull())
-    brief = [F.transform(F.sequence(F.lit(0), F.size("_hashes") - s), lambda i, s=s: entry(s, F.xxhash64(F.slice("_hashes", i + 1, s)), i)) for s in short]
+
+    def whole_items(size: int) -> Column:  # a lambda's second parameter would be the index
+        return F.transform(F.sequence(F.lit(0), F.size("_hashes") - size), lambda i: entry(size, F.xxhash64(F.slice("_hashes", i + 1, size)), i))
+
+    brief = [whole_items(s) for s in short]
     brief = [F.when(F.size("_hashes") >= s, b).otherwise(F.array().cast("array<struct<len:int,print:bigint,at:int>>")) for s, b in zip(short, brief, strict=True)]
     first = F.array(F.struct(F.lit(0).alias("len"), F.lit(0).cast("long").alias("print"), F.lit(0).alias("at")))
     prints = prints.select("doc_id", "_words", F.concat(first, runs, *brief).alias("_prints"))
