@@ -86,7 +86,7 @@ def licences(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     known = spark.createDataFrame([(normalise(x), k) for k, own in SENTENCES.items() for x in own], "norm string, sid string")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    parts = F.split(F.regexp_replace(text, "([.!?:])[ \t\r]+", "$1\n"), "\n")
+    parts = F.split(F.regexp_replace(text, "([.!?])[ \t\r]+", "$1\n"), "\n")
     may = docs.where(text.rlike(HINT)).select("doc_id", F.posexplode_outer(parts).alias("_at", "_s")).where(F.col("_s").rlike(HINT))
     found = may.select("doc_id", "_at", normalised(F.col("_s")).alias("norm")).join(F.broadcast(known), "norm").select("doc_id", F.struct("_at", "sid").alias("_x"))
     rows = docs.select("doc_id", F.lit(None).cast(found.schema["_x"].dataType).alias("_x")).union(found)

@@ -28,8 +28,8 @@ def _op4() -> str:
     listed = f"array_to_string(list_filter([{', '.join(names)}], lambda x, i: x IS NOT NULL AND list_position([{', '.join(names)}], x) = i), ';')"
     return f"""
 WITH known(norm, sid) AS (VALUES {known}),
-parts AS (SELECT doc_id, unnest(string_split(regexp_replace(coalesce(text, ''), '([.!?:])[ \\t\\r]+', '\\1' || chr(10), 'g'), chr(10))) AS s,
-  generate_subscripts(string_split(regexp_replace(coalesce(text, ''), '([.!?:])[ \\t\\r]+', '\\1' || chr(10), 'g'), chr(10)), 1) AS at FROM documents),
+parts AS (SELECT doc_id, unnest(string_split(regexp_replace(coalesce(text, ''), '([.!?])[ \\t\\r]+', '\\1' || chr(10), 'g'), chr(10))) AS s,
+  generate_subscripts(string_split(regexp_replace(coalesce(text, ''), '([.!?])[ \\t\\r]+', '\\1' || chr(10), 'g'), chr(10)), 1) AS at FROM documents),
 found AS (SELECT DISTINCT p.doc_id, p.at, k.sid FROM parts p JOIN known k ON k.norm = trim(regexp_replace(lower(p.s), '[^a-z0-9]+', ' ', 'g')) WHERE regexp_matches(p.s, {_quote(HINT)})),
 ids AS (SELECT d.doc_id, coalesce(string_agg(f.sid, ',' ORDER BY f.at, f.sid), '') AS sentence_ids FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN found f USING (doc_id) GROUP BY d.doc_id),
 {", ".join(steps)}
