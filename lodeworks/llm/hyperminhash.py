@@ -6,9 +6,11 @@ fixed per register, so that the registers of short texts, too, agree with the se
 neighbouring registers are one 64-bit band key.
 
 Documents with equal sets are one class from the start. Classes that share a band key are candidates, but a bucket's
-pairs are never listed: its members are first tried with the bucket's least and greatest member, the best try each by
-estimate, on full sets. Only where members of a bucket are then still in different components are the pairs across
-components tried, so every pair of candidates is confirmed, rejected, or needless because it is connected already.
+pairs are never listed: its members are first tried with the bucket's least member, one try each by estimate, on full
+sets, then the best try between any two components that are left. Where members of a bucket are then still in different
+components, tasks compare registers across components, block against block, and texts of components that seem similar
+meet in tasks that count all intersections across components. Only the links of a forest leave a task, so every pair of
+candidates is confirmed, rejected, or needless because it is connected already, and none is a row.
 """
 
 from __future__ import annotations
@@ -134,7 +136,136 @@ def confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int, salt_row
     return met.select("a", "share", "kind", "id", "text").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, margin: float = 0.2) -> DataFrame:
+def _blocked(rows: DataFrame, by: str, blocks: str) -> DataFrame:
+    """Each row once for each pair of blocks that its block belongs to: _x <= _y are the pair, _own the row's block."""
+    own = F.pmod(F.xxhash64(by), F.col(blocks)).cast("int")
+    rows = rows.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col(blocks) - 1)))
+    return rows.withColumns({"_x": F.least("_own", "_other"), "_y": F.greatest("_own", "_other")})
+
+
+class _Forest:
+    """Union-find over labels; join() says whether it joined two trees."""
+
+    def __init__(self):
+        self.parent: dict = {}
+
+    def root(self, x):
+        while self.parent.get(x, x) != x:
+            self.parent[x] = x = self.parent.get(self.parent[x], self.parent[x])
+        return x
+
+    def join(self, x, y) -> bool:
+        x, y = self.root(x), self.root(y)
+        if x == y:
+            return False
+        self.parent[max(x, y)] = min(x, y)
+        return True
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[dict[str, list]]:
+    """Columns of the rows of each group of equal first ``keys`` columns; rows come sorted by them."""
+    now, held = None, None
+    for b in batches:
+        cols = {n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names)}
+        names = list(cols)
+        for row in zip(*cols.values(), strict=True):
+            if row[:keys] != now:
+                if held:
+                    yield held
+                now, held = row[:keys], {n: [] for n in names}
+            for n, v in zip(names, row, strict=True):
+                held[n].append(v)
+    if held:
+        yield held
+
+
+def likely(rows: DataFrame, percent: int, least: float) -> DataFrame:
+    """a, b: links that connect the components (c) of which two members in one bucket have an estimate of at least least.
+
+    rows: k, rep, c, n, bands, blocks. A bucket's registers are compared in its task, block against block, and only the
+    links of a forest over its components leave the task.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = _blocked(rows, "rep", "blocks").repartition(parts, "k", "_x", "_y").sortWithinPartitions("k", "_x", "_y").select("k", "_x", "_y", "_own", "c", "n", "bands")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in _grouped(batches, 3):
+            own, c, n = np.array(g["_own"]), np.array(g["c"]), np.array(g["n"])
+            regs = np.array(g["bands"], "<i8").view(np.uint16)
+            forest, out = _Forest(), []
+            left, right = np.flatnonzero(own == g["_x"][0]), np.flatnonzero(own == g["_y"][0])
+            for i in left:
+                j = right[(c[right] != c[i]) & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))]
+                if not len(j):
+                    continue
+                j = j[(regs[j] == regs[i]).mean(1) >= least]
+                for other in np.unique(c[j]).tolist():
+                    if forest.join(int(c[i]), other):
+                        out.append((int(c[i]), other))
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def common_counts(x: list[np.ndarray], y: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of each set of x with each of y, by products of incidence matrices."""
+    ids = np.concatenate([*x, *y]) if x or y else np.zeros(0, np.uint64)
+    names, inverse, n = np.unique(ids, return_inverse=True, return_counts=True)
+    number = np.where(n > 1, np.cumsum(n > 1) - 1, -1)[inverse]  # what one set alone has counts for no pair
+    owner = np.repeat(np.arange(len(x) + len(y)), [len(s) for s in (*x, *y)])
+    keep = number >= 0
+    number, owner = number[keep], owner[keep]
+    order = np.argsort(number, kind="stable")
+    number, owner = number[order], owner[order]
+    out = np.zeros((len(x), len(y)), np.float32)
+    for at in range(0, int(number[-1]) + 1 if len(number) else 0, width):
+        a, z = np.searchsorted(number, [at, at + width])
+        m = np.zeros((len(x) + len(y), width), np.float32)
+        m[owner[a:z], number[a:z] - at] = 1
+        out += m[: len(x)] @ m[len(x) :].T
+    return out.astype(np.int64)
+
+
+def across(rows: DataFrame, docs: DataFrame, size: int, percent: int, block: int, few: int = 256) -> DataFrame:
+    """a, b: confirmed links that connect components (c) within groups (g). rows: rep, c, g.
+
+    A group's texts meet in tasks of at most two blocks, where all pairs across components are counted on full sets; the
+    links of a forest leave a task.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sizes = rows.groupBy("g").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
+    ids = rows.select("rep").distinct()
+    if ids.count() <= 1_000_000:  # else the join below does without
+        texts = texts.join(F.broadcast(ids), "rep", "left_semi")
+    dealt = _blocked(rows.distinct().join(sizes, "g").join(texts, "rep"), "rep", "blocks").repartition(parts, "g", "_x", "_y").sortWithinPartitions("g", "_x", "_y").select("g", "_x", "_y", "_own", "rep", "c", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = WordHashes()
+        for g in _grouped(batches, 3):
+            own, c, rep = np.array(g["_own"]), np.array(g["c"]), g["rep"]
+            sets = [shingles(words.of(raw(t, lower=True)), size) for t in g["text"]]
+            n = np.array([len(s) for s in sets])
+            forest, out = _Forest(), []
+            # the largest component's members are held against the others, not against each other
+            names, many = np.unique(c, return_counts=True)
+            main = names[many.argmax()]
+            left, right = np.flatnonzero((own == g["_x"][0]) & (c != main)), np.flatnonzero(own == g["_y"][0])
+            if g["_x"][0] != g["_y"][0]:
+                left, right = np.flatnonzero(c != main), np.arange(len(c))
+            for a in range(0, len(left), few):
+                i = left[a : a + few]
+                common = common_counts([sets[k] for k in i], [sets[k] for k in right])
+                ok = (100 * common >= percent * (n[i][:, None] + n[right][None] - common)) & (c[i][:, None] != c[right][None]) & (common > 0)
+                for p, q in zip(*np.nonzero(ok), strict=True):
+                    if forest.join(int(c[i[p]]), int(c[right[q]])):
+                        out.append((rep[i[p]], rep[right[q]]))
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, margin: float = 0.175, block: int = 2000) -> DataFrame:
     """A row for each doc_id of docs (doc_id, text): n_shingles, component_id, kept.
 
     Linked are documents whose sets of ``size``-word shingles (A-Z lower-cased) have 100 * intersection >= percent *
@@ -162,18 +293,33 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, margin: f
         out = pairs.join(y, "b").join(x, "a").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
         return out.select("a", "b", estimate(agreeing(F.col("ra"), F.col("rb")), F.col("na"), F.col("nb")).alias("est")).where(F.col("est") >= least)
 
-    ends = buckets.select(F.explode(F.array("lo", "hi")).alias("a"), F.col("rep").alias("b")).where("a != b").distinct()
-    best = promising(ends).groupBy("b").agg(F.max_by("a", F.struct("est", "a")).alias("a"))
-    links = cut(confirm(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), docs, size, percent))
+    tries = buckets.where("lo != rep").select(F.col("lo").alias("a"), F.col("rep").alias("b")).distinct()
+    tries = cut(promising(tries))
+    # the least of the members that seem similar enough: so a group gathers around one document
+    wanted = F.coalesce(F.min(F.when(F.col("est") >= percent / 100, F.col("a"))), F.max_by("a", F.struct("est", "a")))
+    best = tries.groupBy("b").agg(wanted.alias("a"))
+    links = cut(confirm(best, docs, size, percent))
     first = components(links)
-    member = buckets.select("k", "rep", "n").join(first.withColumnRenamed("id", "rep"), "rep", "left").select("k", "rep", "n", F.coalesce("label", "rep").alias("c"))
+    # what these tries left apart: the best try between any two components
+    label = lambda c, to: first.select(F.col("id").alias(c), F.col("label").alias(to))
+    apart = tries.join(best.withColumn("_done", F.lit(1)), ["a", "b"], "left_anti").join(label("a", "ca"), "a", "left").join(label("b", "cb"), "b", "left")
+    apart = apart.withColumns({"ca": F.coalesce("ca", "a"), "cb": F.coalesce("cb", "b")}).where("ca != cb")
+    second = apart.groupBy(F.least("ca", "cb"), F.greatest("ca", "cb")).agg(F.max_by(F.struct("a", "b"), F.struct("est", "a", "b")).alias("e")).select("e.a", "e.b")
+    more = cut(confirm(second, docs, size, percent))
+    if not more.isEmpty():
+        links = cut(links.union(more))
+        first = components(links)
+    member = buckets.select("k", "rep").join(first.withColumnRenamed("id", "rep"), "rep", "left").select("k", "rep", F.coalesce("label", "rep").alias("c"))
     member = cut(member)
-    open_keys = member.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("k")
-    rest = member.join(open_keys, "k", "left_semi")
-    x, y = rest.toDF("k", "a", "na", "ca"), rest.toDF("k", "b", "nb", "cb")
-    across = x.join(y, "k").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))).select("a", "b").distinct()
-    more = cut(confirm(promising(across), docs, size, percent))
-    labels = first if more.isEmpty() else components(links.union(more))
+    open_keys = member.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m")).where("lo < hi").select("k", F.ceil(F.col("m") / block).cast("int").alias("blocks"))
+    near = cut(likely(member.join(open_keys, "k").join(reps, "rep"), percent, least))
+    if near.isEmpty():
+        labels = first
+    else:
+        super_group = components(near)
+        in_group = reps.join(first.withColumnRenamed("id", "rep"), "rep", "left").select("rep", F.coalesce("label", "rep").alias("c")).join(super_group.toDF("c", "g"), "c")
+        more = cut(across(in_group, docs, size, percent, block))
+        labels = first if more.isEmpty() else components(links.union(more))
     rows = found.join(classes.select("h1", "h2", "n", "rep"), ["h1", "h2", "n"], "left").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
     rows = rows.select("doc_id", "n", F.coalesce("label", F.when(F.col("n") > 0, F.col("rep")), "doc_id").alias("c"))
     out = rows.groupBy("doc_id").agg(F.max("n").alias("n_shingles"), F.min("c").alias("c"))

@@ -19,6 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import cut, tune
 from .components import components
@@ -65,7 +66,8 @@ def normal(line: str) -> str:
 
 
 def line_id(line: str) -> int:
-    return int(np.uint64(xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass"))).astype(np.int64))
+    x = xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass"))
+    return x - (1 << 64) if x >> 63 else x
 
 
 def lines_of(text: str | None, least: int) -> list[tuple[int, str]]:
@@ -79,18 +81,29 @@ def segment(length: int, parts: int, k: int) -> tuple[int, int]:
     return k * small + max(0, k - (parts - longer)), small + (k >= parts - longer)
 
 
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of a base and of its inverse; kept by the worker."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        base = 0x9FB21C651E98DF25
+        own = [np.full(1 << max(20, n.bit_length()), x, np.uint64) for x in (base, pow(base, -1, 1 << 64))]
+        for x in own:
+            x[0] = 1
+        _POWERS[:] = [np.multiply.accumulate(x) for x in own]
+    return _POWERS[0][:n], _POWERS[1][:n]
+
+
 def entries(lines: list[str], ids: np.ndarray, limit: int) -> np.ndarray:
     """The index and probe entries of distinct lines."""
     codes = [np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32) for x in lines]
     sizes = np.array([len(c) for c in codes], np.int64)
     offset = np.append(0, np.cumsum(sizes))
-    chars = mix(np.concatenate(codes).astype(np.uint64) if codes else np.zeros(0, np.uint64), 21)
-    base = 0x9FB21C651E98DF25
-    up, down = np.full(len(chars) + 1, base, np.uint64), np.full(len(chars) + 1, pow(base, -1, 1 << 64), np.uint64)
-    up[0] = down[0] = 1
-    up, down = np.multiply.accumulate(up), np.multiply.accumulate(down)
+    chars = np.concatenate(codes).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) if codes else np.zeros(0, np.uint64)
+    up, down = _powers(len(chars) + 1)
     total = np.append(np.uint64(0), np.cumsum(chars * up[:-1]))
-    parity = np.bitwise_xor.reduceat(np.uint64(1) << (chars & np.uint64(63)), offset[:-1]) if len(lines) else np.zeros(0, np.uint64)
+    parity = np.bitwise_xor.reduceat(np.uint64(1) << (chars >> np.uint64(58)), offset[:-1]) if len(lines) else np.zeros(0, np.uint64)
     out = []
 
     def add(which: np.ndarray, begin: np.ndarray, length: np.ndarray, k: int, whole: np.ndarray, probe: int) -> None:
@@ -196,7 +209,7 @@ def _candidates(docs: DataFrame, least: int, limit: int) -> DataFrame:
         for b in batches:
             lines = list({x: None for text in b.column(1) for _, x in lines_of(text.as_py(), least)})
             found = entries(lines, np.array([line_id(x) for x in lines], np.int64), limit)
-            share = (found["key"] >> np.uint64(8)) % np.uint64(shares)
+            share = ((found["key"] >> np.uint64(8)) % np.uint64(shares)).astype(np.uint16 if shares < 1 << 16 else np.int64)
             order = np.argsort(share, kind="stable")
             found, share = found[order], share[order]
             cuts = np.flatnonzero(np.append(True, share[1:] != share[:-1])) if len(share) else []
@@ -229,20 +242,28 @@ def _candidates(docs: DataFrame, least: int, limit: int) -> DataFrame:
     return dealt.repartition(parts, "share").sortWithinPartitions("share").mapInArrow(meet, "a long, b long, key long, line long, sign long, len long")
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, least: int, limit: int, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """The pairs (a, b) of lines within the limit."""
+def _confirm(pairs: DataFrame, docs: DataFrame, occurrences: DataFrame, limit: int, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """The pairs (a, b) of lines within the limit. Only the documents are read in which the lines come first."""
     pairs = cut(pairs.distinct())
     wanted = pairs.select(F.col("a").alias("line")).union(pairs.select("b")).distinct()
+    small = wanted.count() <= broadcast_rows  # else the joins below do without
+    place = occurrences.join(F.broadcast(wanted) if small else wanted, "line", "left_semi").groupBy("line").agg(F.min(F.struct("doc_id", "at")).alias("p"))
+    place = place.groupBy("p.doc_id").agg(F.collect_list(F.struct("p.at", "line")).alias("places"))
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lines = list({x: None for text in b.column(1) for _, x in lines_of(text.as_py(), least)})
-            yield pa.RecordBatch.from_arrays([pa.array([line_id(x) for x in lines], pa.int64()), pa.array(lines, pa.string())], ["line", "words"])
-
-    found = docs.mapInArrow(texts, "line long, words string")
-    small = wanted.count() <= broadcast_rows
-    found = found.join(F.broadcast(wanted) if small else wanted, "line", "left_semi").groupBy("line").agg(F.min("words").alias("words"))
-    found = cut(found)
+            ids, words = [], []
+            for text, places in zip(b.column(0), b.column(1).to_pylist(), strict=True):
+                lines = (text.as_py() or "").split("\n")
+                for p in places:
+                    x = normal(lines[p["at"]]) if p["at"] < len(lines) else ""
+                    if line_id(x) == p["line"]:  # rows that share a doc_id may have other texts
+                        ids.append(p["line"])
+                        words.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(words, pa.string())], ["line", "words"])
+
+    found = docs.join(F.broadcast(place) if small else place, "doc_id").select("text", "places").mapInArrow(texts, "line long, words string")
+    found = cut(found.groupBy("line").agg(F.min("words").alias("words")))
     x, y = found.toDF("a", "x"), found.toDF("b", "y")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,11 +274,11 @@ def _confirm(pairs: DataFrame, docs: DataFrame, least: int, limit: int, broadcas
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
-def line_links(docs: DataFrame, limit: int = 2, least: int = 20) -> DataFrame:
+def line_links(docs: DataFrame, occurrences: DataFrame, limit: int = 2, least: int = 20) -> DataFrame:
     """a, b: links between distinct lines within the limit, at least as many as connect what is connected."""
     found = cut(_candidates(docs, least, limit))
     pairs, left = found.where("a is not null").select("a", "b"), found.where("key is not null").select("key", "line", "sign", "len")
-    links = cut(_confirm(pairs, docs, least, limit))
+    links = cut(_confirm(pairs, docs, occurrences, limit))
     if left.isEmpty():
         return links
     label = components(links).withColumnRenamed("id", "line")
@@ -267,7 +288,7 @@ def line_links(docs: DataFrame, limit: int = 2, least: int = 20) -> DataFrame:
     x, y = rest.toDF("key", "a", "sa", "la", "ca"), rest.toDF("key", "b", "sb", "lb", "cb")
     near = (F.abs(F.col("la") - F.col("lb")) <= limit) & (F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= 2 * limit)
     across = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near).select("a", "b")
-    return links.union(cut(_confirm(across, docs, least, limit)))
+    return links.union(cut(_confirm(across, docs, occurrences, limit)))
 
 
 def deduplicate(docs: DataFrame, limit: int = 2, least: int = 20) -> DataFrame:
@@ -286,7 +307,7 @@ def deduplicate(docs: DataFrame, limit: int = 2, least: int = 20) -> DataFrame:
     docs = docs.drop("kept_text", "n_lines", "n_removed", "n_words_left")
     own = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     occurrences = cut(_occurrences(own, least))
-    links = cut(line_links(own, limit, least).select("a", "b"))
+    links = cut(line_links(own, occurrences, limit, least).select("a", "b"))
     lines = occurrences.groupBy("line").agg(F.min(F.struct("doc_id", "at")).alias("first"))
     if links.isEmpty():
         heads = lines
@@ -313,7 +334,7 @@ def deduplicate(docs: DataFrame, limit: int = 2, least: int = 20) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i, c in enumerate(joined_names) if c != "_gone"), *(pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.string(), pa.int64(), pa.int64(), pa.int64())))], [*names, "kept_text", "n_lines", "n_removed", "n_words_left"])
 
     joined_names = list(joined.columns)
-    schema = docs.withColumns({"kept_text": F.lit("").cast("string"), "n_lines": F.lit(0).cast("long"), "n_removed": F.lit(0).cast("long"), "n_words_left": F.lit(0).cast("long")}).schema
+    schema = T.StructType([*docs.schema.fields, T.StructField("kept_text", T.StringType()), *(T.StructField(c, T.LongType()) for c in ("n_lines", "n_removed", "n_words_left"))])
     return joined.mapInArrow(run, schema)
 
 
