@@ -1,24 +1,72 @@
-"""Connected components of a link table, by least labels and pointer jumping in DataFrame rounds."""
+"""Connected components of a link table: forests within tasks, then pointer jumping in DataFrame rounds."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
 
+#: Links that a task contracts at a time.
+CHUNK = 1 << 20
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(root, node) of the nodes of the links a-b that are not the least of their component among these links."""
+    names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y, label = at[: len(a)], at[len(a) :], np.arange(len(names))
+    while True:
+        p, q = label[x], label[y]
+        apart = p != q
+        if not apart.any():
+            break
+        np.minimum.at(label, np.maximum(p, q)[apart], np.minimum(p, q)[apart])
+        while (label[label] != label).any():
+            label = label[label]
+    node = np.flatnonzero(label != np.arange(len(names)))
+    return names[label[node]], names[node]
+
+
+def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[pa.RecordBatch] = []
+
+    def out() -> pa.RecordBatch:
+        a, b = (np.concatenate([x.column(i).to_numpy() for x in held]) for i in (0, 1))
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in forest(a, b)], ["a", "b"])
+
+    for batch in batches:
+        held.append(batch)
+        if sum(x.num_rows for x in held) >= CHUNK:
+            yield out()
+            held = []
+    if held:
+        yield out()
+
 
 def components(links: DataFrame) -> DataFrame:
-    """id, label (the least id reachable) of every id in links (a, b). Each round is written to the shared folder."""
-    both = cut(links.select("a", "b").union(links.select("b", "a")).where("a != b").distinct())
-    labels = both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("label"))
-    labels = cut(labels)
+    """id, label (the least id reachable) of every id in links (a, b). Each round is written to the shared folder.
+
+    Tasks contract the links they have, then those that share a larger end, until each node has one parent, a smaller
+    node; then parents are replaced by their parents until none has one. Contracting first turns the links of a node
+    with many of them into links of its neighbours, so no such node gathers in a task. Links with a null end are none.
+    """
+    spark = links.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = links.where("a != b").select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).mapInArrow(_forests, "a long, b long")
+    while True:
+        found = cut(found.repartition(parts, "b").sortWithinPartitions("b").mapInArrow(_forests, "a long, b long"))
+        parent = cut(found.groupBy("b").agg(F.min("a").alias("a"), F.count("*").alias("n")))
+        if parent.where("n > 1").isEmpty():
+            break
+    parent = parent.select("b", "a")
     while True:
-        near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("m"))
-        new = labels.join(near, "id").select("id", F.col("label").alias("old"), F.least("label", "m").alias("label"))
-        up = new.select(F.col("id").alias("label"), F.col("label").alias("up"))
-        new = cut(new.join(up, "label").select("id", "old", F.least("label", "up").alias("label")))
-        changed = not new.where("label != old").isEmpty()
-        labels = new.select("id", "label")
-        if not changed:
-            return labels
+        up = parent.select(F.col("b").alias("a"), F.col("a").alias("up"))
+        jumped = cut(parent.join(up, "a", "left"))
+        if jumped.where("up is not null").isEmpty():
+            break
+        parent = jumped.select("b", F.coalesce("up", "a").alias("a"))
+    return parent.select(F.col("b").alias("id"), F.col("a").alias("label")).union(parent.select("a", F.col("a").alias("label")).distinct())

@@ -104,6 +104,8 @@ def confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int, salt_row
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     pairs = cut(pairs.select("a", "b"))
+    if pairs.isEmpty():
+        return pairs
     per = pairs.groupBy("a").agg(F.count("*").alias("_n")).select("a", F.ceil(F.col("_n") / salt_rows).cast("int").alias("_shares"))
     members = pairs.join(per, "a").select("a", F.pmod(F.xxhash64("b"), F.col("_shares")).cast("int").alias("share"), F.lit(1).alias("kind"), F.col("b").alias("id"))
     centres = per.select("a", F.explode(F.sequence(F.lit(0), F.col("_shares") - 1)).alias("share"), F.lit(0).alias("kind"), F.col("a").alias("id"))
