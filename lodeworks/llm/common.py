@@ -17,8 +17,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Bound the memory of a Python worker: an Arrow batch holds BATCH_ROWS texts at most."""
+    """Bound the memory of a Python worker and the disk: an Arrow batch holds BATCH_ROWS texts at most, and an action's
+    shuffle files go when it ends. What is needed later is in the shared folder by then; else Spark makes it again."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     return spark
 
 
