@@ -2,8 +2,9 @@
 
 A window of ``window`` consecutive words holds window - k + 1 k-grams; its fingerprint is the least of their hashes.
 Equal windows have equal fingerprints, so joining the fingerprints of documents with those of benchmark items finds every
-shared span of a window or more. Runs of neighbouring windows with one fingerprint are kept once. A hit is extended to
-the windows that share its k-gram and confirmed on the words themselves.
+shared span of a window or more. Runs of neighbouring windows with one fingerprint are kept once; where a k-gram recurs
+and makes a run longer, once in every window - k + 1 windows at least. A hit is extended to as many windows and confirmed
+on the words themselves.
 
 Everything here is DataFrame functions. Arrays that are never empty are exploded by explode_outer: explode would have
 the optimizer add a filter on the array's size and push it through all projections, which inlines each array of hashes
@@ -73,7 +74,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, k: int =
     texts = docs.select("doc_id", words_of(F.col("text")).alias("_words"))
     prints = fingerprints(texts, k, window)
     entry = lambda size, m, i: F.struct(F.lit(size).alias("len"), m.alias("print"), i.alias("at"))
-    runs = F.filter(F.transform("_minima", lambda m, i: F.when((i == 0) | (m != F.get("_minima", i - 1)), entry(window, m, i))), lambda x: x.isNotNull())
+    before = lambda i, j: F.get("_minima", i - j)
+    # an entry stands for span windows: a longer run is entered again at its window span, then wherever span divides i
+    again = lambda m, i: (m == before(i, span)) & ((i % span == 0) | (before(i, 1) != before(i, span + 1)))
+    runs = F.filter(F.transform("_minima", lambda m, i: F.when((i == 0) | (m != before(i, 1)) | again(m, i), entry(window, m, i))), lambda x: x.isNotNull())
 
     def whole_items(size: int) -> Column:  # a lambda's second parameter would be the index
         return F.transform(F.sequence(F.lit(0), F.size("_hashes") - size), lambda i: entry(size, F.xxhash64(F.slice("_hashes", i + 1, size)), i))

@@ -332,6 +332,27 @@ def test_decontamination(spark, docs, broadcast_rows):
     assert {r["n_hit"] for r in winnowing.decontaminate(df, bench.limit(0)).collect()} == {0}
 
 
+@pytest.mark.parametrize("broadcast_rows", [10**6, 0])
+def test_decontamination_of_periodic_texts(spark, broadcast_rows):
+    """A 5-gram that recurs within 6 words makes a run of more windows than one entry is extended to."""
+    rng = random.Random(11)
+    items = [(0, "ha " * 12), (1, " ".join(f"i{j}" for j in range(20)))]
+    rows = [(0, "ha " * 40), (1, "x " + "ha " * 17 + "y"), (2, "clean text of no item")]
+    for i in range(60):
+        period = word_list(rng, rng.randrange(1, 7), 10**6)
+        item = period * rng.randrange(1, 5) + word_list(rng, 12, 10**6)
+        items.append((10 + i, " ".join(item)))
+        at = rng.randrange(len(item) - 9)
+        rows.append((10 + i, " ".join([*word_list(rng, rng.randrange(8), 10**6), *period * rng.randrange(2, 8), *item[at : at + 10 + rng.randrange(8)], *period * rng.randrange(3)])))
+        rows.append((100 + i, " ".join(["buy now and save big"] * 3 + [items[1][1]] + word_list(rng, i, 10**6))))
+        five = word_list(rng, 5, 10**6)
+        items.append((200 + i, " ".join(five + word_list(rng, 5, 10**6))))
+        rows.append((200 + i, " ".join([*five * 2, items[-1][1], *word_list(rng, 3)])))
+    df, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    out = winnowing.decontaminate(df, bench, broadcast_rows=broadcast_rows).collect()
+    assert {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"]) for r in out} == brute_hits(rows, items)
+
+
 # quality rules
 
 
