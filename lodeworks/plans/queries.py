@@ -14,6 +14,7 @@ from ..sources.readers import table
 from . import views
 
 LSH_ROWS = 4
+REFERENCE_ROWS, REFERENCE_SIM = 1, 0.055
 CHUNKS = 5
 
 
@@ -61,6 +62,16 @@ def lsh_similar_pairs(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("sim", F.round("sim", 9))
 
 
+def lsh_candidates_reference(spark: SparkSession, d: str) -> DataFrame:
+    """The reference's setting, 100 bands of one hash: the candidates grow with the square of the documents."""
+    return similarity.lsh_candidates(similarity.minhash_signature(_distinct_sets(spark, d), "entity", "member"), REFERENCE_ROWS)
+
+
+def lsh_similar_pairs_reference(spark: SparkSession, d: str) -> DataFrame:
+    out = similarity.lsh_similar_pairs(_distinct_sets(spark, d), "entity", "member", REFERENCE_SIM, REFERENCE_ROWS)
+    return out.withColumn("sim", F.round("sim", 9))
+
+
 def lsh_set_classes(spark: SparkSession, d: str) -> DataFrame:
     return similarity.set_classes(views.doc_words(spark, d).toDF("entity", "member"))
 
@@ -213,7 +224,8 @@ def id_dictionary(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        itemsets_by_brand, itemsets_inverted, itemsets_candidates, minhash_signature, lsh_candidates, lsh_similar_pairs, lsh_set_classes, jaccard_exact,
+        itemsets_by_brand, itemsets_inverted, itemsets_candidates, minhash_signature, lsh_candidates, lsh_similar_pairs, lsh_candidates_reference, lsh_similar_pairs_reference,
+        lsh_set_classes, jaccard_exact,
         tfidf_profile, content_scores, item_cf_model, item_cf_predict, user_cf_model, user_cf_predict, top_k_neighbours,
         cooccurrence_edges, jaccard_graph, lpa_communities, connected_components, edge_betweenness, girvan_newman, girvan_newman_log,
         kmeans_assign, kmeans_update, mahalanobis_assign, kmeans_full, bfr_clusters, bfr_rounds,

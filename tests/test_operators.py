@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lodeworks.functions import hashing, text
 from lodeworks.operators import cf, clustering, content, dictionary, graph, itemsets, similarity, sketches
+from lodeworks.plans import queries
 from lodeworks.sources import readers, sinks
 
 
@@ -83,6 +84,18 @@ def test_jaccard_and_lsh(spark):
     assert near <= want and len(near) >= 0.95 * len(want)
 
 
+def test_lsh_at_the_reference_setting(spark, tmp_path):
+    """Nearly all pairs from 0.055 on, most of which bands of 4 rows lose."""
+    rng = random.Random(6)
+    sets = {i: {f"w{rng.randrange(200)}" for _ in range(30)} for i in range(60)}
+    spark.createDataFrame([(i, " ".join(sorted(s))) for i, s in sets.items()], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    sim = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in itertools.combinations(sets, 2)}
+    want = {p: round(x, 9) for p, x in sim.items() if x >= 0.055}
+    got = {(r["a"], r["b"]): r["sim"] for r in queries.QUERIES["lsh_similar_pairs_reference"](spark, str(tmp_path)).collect()}
+    assert got.items() <= want.items() and len(got) >= 0.99 * len(want)
+    assert got.keys() <= {(r["a"], r["b"]) for r in queries.QUERIES["lsh_candidates_reference"](spark, str(tmp_path)).collect()}
+
+
 def test_set_classes(spark):
     df = spark.createDataFrame([(1, "a"), (1, "b"), (2, "b"), (2, "a"), (3, "a")], "entity long, member string")
     assert rows(similarity.set_classes(df)) == [(1, 1), (2, 1), (3, 3)]
