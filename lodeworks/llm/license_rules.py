@@ -1,7 +1,8 @@
 """Licence scans by sentence rules.
 
-Sentences that can speak of a licence are normalised and looked up among known licence sentences; a document's sequence
-of sentence identifiers is then matched against ordered rules, each of which consumes the identifiers it explains.
+Texts that can speak of a licence are normalised, and known licence sentences are looked up in them, on one line or
+wrapped over several; a document's sequence of sentence identifiers is then matched against ordered rules, each of which
+consumes the identifiers it explains.
 
 Everything here is DataFrame functions.
 """
@@ -10,7 +11,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: A sentence without one of these is not normalised at all.
@@ -62,12 +63,14 @@ KINDS = ("proprietary", "noncommercial", "copyleft", "permissive")
 
 
 def normalise(sentence: str) -> str:
-    """What normalised() does, for the known sentences."""
+    """What licences() does to texts, for the known sentences."""
     return re.sub("[^a-z0-9]+", " ", sentence.lower()).strip(" ")
 
 
-def normalised(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
+def known_sentences() -> str:
+    """In parts that are normalised and joined by \\n where a line ends, else by \\x01: a known sentence made of whole parts."""
+    own = sorted({normalise(x) for known in SENTENCES.values() for x in known}, key=lambda x: (-len(x), x))
+    return "(^|[\n\x01])(" + "|".join(x.replace(" ", "[ \n]") for x in own) + ")(?=[\n\x01]|\\z)"
 
 
 def pattern(ids: tuple[str, ...]) -> str:
@@ -79,6 +82,9 @@ def licences(docs: DataFrame) -> DataFrame:
     """A row for each document (doc_id, text): sentence_ids and licences in order of the rules, as strings joined by
     commas and semicolons, kind (the strictest of KINDS, or none), n_unexplained (identifiers no rule took).
 
+    A sentence starts and ends where a line or another sentence does. It may be wrapped, with comment signs before its
+    lines, but has no blank line within.
+
     Null and empty texts have no licence. Rows that share a doc_id, null included, are one document, whose sentences are
     those of its rows by place; equal sentences at one place count once. Other columns are ignored; an empty table gives
     an empty result.
@@ -86,9 +92,15 @@ def licences(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     known = spark.createDataFrame([(normalise(x), k) for k, own in SENTENCES.items() for x in own], "norm string, sid string")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    parts = F.split(F.regexp_replace(text, "([.!?])[ \t\r]+", "$1\n"), "\n")
-    may = docs.where(text.rlike(HINT)).select("doc_id", F.posexplode_outer(parts).alias("_at", "_s")).where(F.col("_s").rlike(HINT))
-    found = may.select("doc_id", "_at", normalised(F.col("_s")).alias("norm")).join(F.broadcast(known), "norm").select("doc_id", F.struct("_at", "sid").alias("_x"))
+    ends = F.regexp_replace(F.translate(text, "\x01\x02\x03", "   "), "([.!?])(?:[ \t\r]+|\n)", "$1\x01")
+    norm = F.trim(F.regexp_replace(F.regexp_replace(F.lower(ends), "[^a-z0-9\n\x01]+", " "), " *([\n\x01]) *", "$1"))
+    parts = F.split(F.regexp_replace(norm, known_sentences(), "$1\x02$2\x03"), "[\n\x01]")
+    most = max(normalise(x).count(" ") + 1 for own in SENTENCES.values() for x in own)  # each part of a sentence has a word
+    whole = lambda i: F.substring_index(F.array_join(F.slice("_parts", i + 1, most), " "), "\x03", 1)
+    starts = F.filter(F.transform("_parts", lambda s, i: F.when(s.startswith("\x02"), F.struct(i.alias("_at"), whole(i).alias("norm")))), lambda x: x.isNotNull())
+    may = docs.where(text.rlike(HINT.replace(" ", "[^a-zA-Z0-9]+"))).select("doc_id", parts.alias("_parts")).select("doc_id", F.explode_outer(starts).alias("_s"))
+    may = may.select("doc_id", "_s._at", F.translate("_s.norm", "\x02", "").alias("norm"))
+    found = may.join(F.broadcast(known), "norm").select("doc_id", F.struct("_at", "sid").alias("_x"))
     rows = docs.select("doc_id", F.lit(None).cast(found.schema["_x"].dataType).alias("_x")).union(found)
     out = rows.groupBy("doc_id").agg(F.array_sort(F.collect_set("_x")).alias("_x"))
     ids = F.transform("_x", lambda x: x["sid"])

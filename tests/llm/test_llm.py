@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -403,6 +404,43 @@ def test_licences(spark):
     assert license_rules.licences(df.limit(0)).count() == 0
 
 
+def wrapped(sign, width, *names, end="\n"):
+    """The sentences of a licence as files have them: lines of a width behind a comment sign, paragraphs by blank lines."""
+    blank = f"{end}{sign.rstrip()}{end}"
+    return blank.join(end.join(sign + x for x in textwrap.wrap(license_rules.SENTENCES[n][-1 if n != "Apache2" else 1], width)) for n in names)
+
+
+def test_wrapped_licences(spark):
+    mit = wrapped("", 76, "MITGrant", "MITNotice")
+    bsd = wrapped("-- ", 50, "BSDGrant") + "\n-- 1. Redistributions of source code must retain the above notice.\n-- \n" + wrapped("-- ", 50, "BSDEndorse")
+    rows = [
+        (1, f"MIT License\n\nCopyright (c) 2020 A. Body\n\n{mit}\n"),
+        (2, f"MIT License\n{mit}\nMore text."),
+        (3, "/*\n" + wrapped(" * ", 70, "GPLText", "GPLNoWarranty") + "\n */\nint x;"),
+        (4, wrapped("# ", 60, "Apache2", "ApacheBasis") + "\n"),
+        (5, bsd),
+        (6, wrapped("// ", 40, "GPLText", end="\r\n") + "\r\n// All rights\r\n// reserved.\r\n"),
+        (7, "We ship it. " + wrapped("", 20, "BSDGrant")),
+        (8, "MIT\n\nLicense.\nThe MIT.\nLicense. MIT. License"),
+        (9, "Rights\nreserved. All rights\nreserved"),
+        (10, "Permission is hereby granted,\nfree of charge."),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r["doc_id"]: (r["sentence_ids"], r["licences"], r["kind"], r["n_unexplained"]) for r in license_rules.licences(df).collect()}
+    assert out == {
+        1: ("MITName,MITGrant,MITNotice", "MIT", "permissive", 0),
+        2: ("MITName,MITGrant,MITNotice", "MIT", "permissive", 0),
+        3: ("GPLText,GPLNoWarranty", "GPL-3.0-or-later", "copyleft", 0),
+        4: ("Apache2,ApacheBasis", "Apache-2.0", "permissive", 0),
+        5: ("BSDGrant,BSDEndorse", "BSD-3-Clause", "permissive", 0),
+        6: ("GPLText,AllRights", "GPL-3.0-or-later;All-Rights-Reserved", "proprietary", 0),
+        7: ("BSDGrant", "BSD-2-Clause", "permissive", 0),
+        8: ("", "", "none", 0),
+        9: ("AllRights", "All-Rights-Reserved", "proprietary", 0),
+        10: ("", "", "none", 0),
+    }
+
+
 # urls
 
 
