@@ -50,10 +50,12 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.union(both).where("src != dst and src != '' and dst != ''").groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 8) -> DataFrame:
+def propagate(seeds: DataFrame, edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-6) -> DataFrame:
     """host, trust, distrust. seeds: host, trust, distrust (weights, any scale); edges: src, dst, weight.
 
-    Mass of hosts without a link onwards is dropped. Each round is written to the shared folder.
+    Masses start from the seeds' own and only grow. Rounds end when no host's grow by more than tolerance of themselves;
+    as a host's first mass is all growth, each host that a seed reaches has its share by then. Mass of hosts without a
+    link onwards is dropped. Each round is written to the shared folder.
     """
     totals = seeds.agg(F.sum("trust").alias("t"), F.sum("distrust").alias("d")).first()
     t, d = (float(x or 0) or 1.0 for x in (totals["t"], totals["d"]))
@@ -63,26 +65,31 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float = 0.85, rounds:
     ahead = edges.join(outs, "src").select(F.col("src").alias("host"), F.col("dst").alias("to"), (F.col("weight") / F.col("_all")).alias("wt"), F.lit(0.0).alias("wd"))
     back = edges.join(ins, "dst").select(F.col("dst").alias("host"), F.col("src").alias("to"), F.lit(0.0).alias("wt"), (F.col("weight") / F.col("_all")).alias("wd"))
     flows = cut(ahead.union(back).groupBy("host", "to").agg(F.sum("wt").alias("wt"), F.sum("wd").alias("wd")))
-    state = seeds.select("host", F.col("_t").alias("trust"), F.col("_d").alias("distrust"))
-    for _ in range(rounds):
-        moved = flows.join(state, "host").groupBy("to").agg((damping * F.sum(F.col("trust") * F.col("wt"))).alias("mt"), (damping * F.sum(F.col("distrust") * F.col("wd"))).alias("md"))
-        own = seeds.select("host", ((1 - damping) * F.col("_t")).alias("mt"), ((1 - damping) * F.col("_d")).alias("md"))
-        state = cut(moved.withColumnRenamed("to", "host").union(own).groupBy("host").agg(F.sum("mt").alias("trust"), F.sum("md").alias("distrust")))
-    return state
-
-
-def judged(pages: DataFrame, rules=RULES, damping: float = 0.85, rounds: int = 8, margin: float = 1e-9) -> DataFrame:
+    own = seeds.select("host", ((1 - damping) * F.col("_t")).alias("trust"), ((1 - damping) * F.col("_d")).alias("distrust"))
+    none, grows = F.lit(0.0), lambda c: F.col(c) - F.col(f"_{c}") > tolerance * F.col(c)
+    state = own
+    while True:
+        moved = flows.join(state, "host").groupBy("to").agg((damping * F.sum(F.col("trust") * F.col("wt"))).alias("trust"), (damping * F.sum(F.col("distrust") * F.col("wd"))).alias("distrust"))
+        new = moved.withColumnRenamed("to", "host").union(own).select("*", none.alias("_trust"), none.alias("_distrust"))
+        old = state.select("host", none, none, "trust", "distrust")
+        state = cut(new.union(old).groupBy("host").agg(*(F.sum(c).alias(c) for c in ("trust", "distrust", "_trust", "_distrust"))))
+        if state.where(grows("trust") | grows("distrust")).isEmpty():
+            return state.select("host", "trust", "distrust")
+        state = state.select("host", "trust", "distrust")
+
+
+def judged(pages: DataFrame, rules=RULES, damping: float = 0.85, tolerance: float = 1e-6, margin: float = 1e-5) -> DataFrame:
     """All columns of pages' page_id with host, path, rule, verdict, trust and distrust of the host.
 
-    What no rule decides is blocked if its host's distrust exceeds its trust by more than margin, else allowed; so are
-    null urls and urls without ://, whose host and path are empty. Repeated rows give repeated results; an empty table
-    gives an empty result; other columns are ignored.
+    What no rule decides is blocked if its host's distrust exceeds its trust by more than margin of the trust, else
+    allowed; so are null urls and urls without ://, whose host and path are empty. Repeated rows give repeated results;
+    an empty table gives an empty result; other columns are ignored.
     """
     parts = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     parts = parts.withColumns({"rule": rule, "_verdict": verdict})
     seeds = parts.groupBy("host").agg(F.avg((F.coalesce("_verdict", F.lit("")) == "allow").cast("double")).alias("trust"), F.avg((F.coalesce("_verdict", F.lit("")) == "block").cast("double")).alias("distrust")).where("host != ''")
-    state = propagate(seeds, cut(host_edges(pages)), damping, rounds)
+    state = propagate(seeds, cut(host_edges(pages)), damping, tolerance)
     out = parts.join(state, "host", "left").fillna(0.0, ["trust", "distrust"])
-    own = F.when(F.col("distrust") > F.col("trust") + margin, "block").otherwise("allow")
+    own = F.when(F.col("distrust") > F.col("trust") * (1 + margin), "block").otherwise("allow")
     return out.select("page_id", "host", "path", "rule", F.coalesce("_verdict", own).alias("verdict"), "trust", "distrust")
