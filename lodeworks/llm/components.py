@@ -1,4 +1,4 @@
-"""Connected components of a link table: forests within tasks, then pointer jumping in DataFrame rounds."""
+"""Connected components of a link table: forests within tasks, then DataFrame rounds until one task can finish."""
 
 from __future__ import annotations
 
@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import counted, cut, tidy
 
-#: Links that a task contracts at a time.
+#: Links that a task contracts at a time, and of which a single task makes the components: 16 MB of them.
 CHUNK = 1 << 20
 
 
@@ -47,22 +47,38 @@ def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def components(links: DataFrame) -> DataFrame:
-    """id, label (the least id reachable) of every id in links (a, b). Each round is written to the shared folder.
+def _labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = list(batches)
+    if held:
+        root, node = forest(*(np.concatenate([x.column(i).to_numpy() for x in held]) for i in (0, 1)))
+        roots = np.unique(root)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([node, roots]), pa.int64()), pa.array(np.concatenate([root, roots]), pa.int64())], ["id", "label"])
+
 
-    Tasks contract the links they have, then those that share a larger end, until each node has one parent, a smaller
-    node; then parents are replaced by their parents until none has one. Contracting first turns the links of a node
-    with many of them into links of its neighbours, so no such node gathers in a task. Links with a null end are none.
+def components(links: DataFrame, finish: int = CHUNK) -> tuple[DataFrame, int]:
+    """id, label (the least id reachable) of every id in links (a, b), and how many ids there are at most.
+
+    Tasks contract the links they have. While more than ``finish`` are left, those that share a larger end meet and are
+    contracted again, until each node has one parent, a smaller node; then parents are replaced by their parents until
+    none has one. Contracting first turns the links of a node with many of them into links of its neighbours, so no such
+    node gathers in a task. ``finish`` links or fewer go to one task at once. Each round is written to the shared folder.
+    Links with a null end are none.
     """
-    spark = links.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = links.where("a != b").select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).mapInArrow(_forests, "a long, b long")
-    while True:
-        found = cut(found.repartition(parts, "b").sortWithinPartitions("b").mapInArrow(_forests, "a long, b long"))
+    parts = int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = links.where("a != b").select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
+    found, n = counted(found.mapInArrow(tidy(_forests), "a long, b long"))
+    while n > finish:
+        found, n = counted(found.repartition(parts, "b").sortWithinPartitions("b").mapInArrow(tidy(_forests), "a long, b long"))
+        if n <= finish:
+            break
         parent = cut(found.groupBy("b").agg(F.min("a").alias("a"), F.count("*").alias("n")))
         if parent.where("n > 1").isEmpty():
-            break
-    parent = parent.select("b", "a")
+            return _roots(parent.select("b", "a")), 2 * n
+    return cut(found.coalesce(1).mapInArrow(tidy(_labels), "id long, label long")), 2 * n
+
+
+def _roots(parent: DataFrame) -> DataFrame:
+    """id, label from b, a: each node's one parent."""
     while True:
         up = parent.select(F.col("b").alias("a"), F.col("a").alias("up"))
         jumped = cut(parent.join(up, "a", "left"))

@@ -8,9 +8,10 @@ neighbouring registers are one 64-bit band key.
 Documents with equal sets are one class from the start. Classes that share a band key are candidates, but a bucket's
 pairs are never listed: its members are first tried with the bucket's least member, one try each by estimate, on full
 sets, then the best try between any two components that are left. Where members of a bucket are then still in different
-components, tasks compare registers across components, block against block, and texts of components that seem similar
-meet in tasks that count all intersections across components. Only the links of a forest leave a task, so every pair of
-candidates is confirmed, rejected, or needless because it is connected already, and none is a row.
+components, tasks compare registers across components, and of components that seem similar, all members outside the
+largest component meet all of the group on full sets. A task holds a block of a group and lets those members pass; only
+the links of a forest leave it. So every pair of candidates is confirmed, rejected, or needless because it is connected
+already, and none is a row.
 """
 
 from __future__ import annotations
@@ -19,10 +20,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, tune
+from .common import aid, counted, cut, tidy, tune
 from .components import components
 from .words import WordHashes, mix, raw
 
@@ -77,7 +78,7 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
                 bands.append(registers(s).view("<i8").tolist() if len(s) else None)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n", "h1", "h2", "bands"])
 
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, "doc_id long, n long, h1 long, h2 long, bands array<long>")
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(tidy(run), "doc_id long, n long, h1 long, h2 long, bands array<long>")
 
 
 def agreeing(x: Column, y: Column) -> Column:
@@ -95,26 +96,22 @@ def estimate(agree: Column, n1: Column, n2: Column) -> Column:
     return (agree / REGISTERS - chance) / (1 - chance)
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int, salt_rows: int = 500, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union.
+def _texts(docs: DataFrame, wanted: DataFrame, rows: int) -> DataFrame:
+    """wanted (rep, ...) with the texts of its documents; while it is small, texts don't travel for the join."""
+    texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
+    return texts.join(aid(wanted, rows), "rep")
+
 
-    Pairs meet by a: its text comes first, those of the b after it, so a task holds two sets at a time. An a with many
-    pairs is dealt in shares of some salt_rows.
+def confirm(pairs: DataFrame, rows: int, docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, int]:
+    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union, and how many. rows: pairs at most.
+
+    Pairs meet by a: its text comes first, those of the b after it, so a task holds two sets at a time. The pairs of an a
+    are dealt in as many shares as there are partitions.
     """
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    pairs = cut(pairs.select("a", "b"))
-    if pairs.isEmpty():
-        return pairs
-    per = pairs.groupBy("a").agg(F.count("*").alias("_n")).select("a", F.ceil(F.col("_n") / salt_rows).cast("int").alias("_shares"))
-    members = pairs.join(per, "a").select("a", F.pmod(F.xxhash64("b"), F.col("_shares")).cast("int").alias("share"), F.lit(1).alias("kind"), F.col("b").alias("id"))
-    centres = per.select("a", F.explode(F.sequence(F.lit(0), F.col("_shares") - 1)).alias("share"), F.lit(0).alias("kind"), F.col("a").alias("id"))
-    rows = members.union(centres)
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    if ids.count() <= broadcast_rows:  # else the join below does without
-        texts = texts.join(F.broadcast(ids), "id", "left_semi")
-    met = rows.join(texts, "id").repartition(parts, "a", "share").sortWithinPartitions("a", "share", "kind", "id")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    members = pairs.select("a", F.pmod(F.xxhash64("b"), F.lit(parts)).cast("int").alias("share"), F.lit(1).alias("kind"), F.col("b").alias("rep"))
+    centres = members.select("a", "share", F.lit(0).alias("kind"), F.col("a").alias("rep")).distinct()
+    met = _texts(docs, members.union(centres), 2 * rows).select("a", "share", "kind", "rep", "text").repartition(parts, "a", "share").sortWithinPartitions("a", "share", "kind", "rep")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, now, centre = WordHashes(), None, []
@@ -135,14 +132,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int, salt_row
                         break
             yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], ["a", "b"])
 
-    return met.select("a", "share", "kind", "id", "text").mapInArrow(run, "a long, b long")
-
-
-def _blocked(rows: DataFrame, by: str, blocks: str) -> DataFrame:
-    """Each row once for each pair of blocks that its block belongs to: _x <= _y are the pair, _own the row's block."""
-    own = F.pmod(F.xxhash64(by), F.col(blocks)).cast("int")
-    rows = rows.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col(blocks) - 1)))
-    return rows.withColumns({"_x": F.least("_own", "_other"), "_y": F.greatest("_own", "_other")})
+    return counted(met.mapInArrow(tidy(run), "a long, b long"))
 
 
 class _Forest:
@@ -164,110 +154,119 @@ class _Forest:
         return True
 
 
-def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[dict[str, list]]:
-    """Columns of the rows of each group of equal first ``keys`` columns; rows come sorted by them."""
-    now, held = None, None
-    for b in batches:
-        cols = {n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names)}
-        names = list(cols)
-        for row in zip(*cols.values(), strict=True):
-            if row[:keys] != now:
-                if held:
-                    yield held
-                now, held = row[:keys], {n: [] for n in names}
-            for n, v in zip(names, row, strict=True):
-                held[n].append(v)
-    if held:
-        yield held
-
-
-def likely(rows: DataFrame, percent: int, least: float) -> DataFrame:
+def _met(rows: DataFrame) -> DataFrame:
+    """Each row of a group once in one of its blocks (kind 0), and those outside its main component in every block (kind 1)."""
+    own = rows.withColumns({"_at": F.pmod(F.xxhash64("rep", F.lit(5)), F.col("blocks")).cast("int"), "_kind": F.lit(0)})
+    rest = rows.where("c != main").withColumns({"_at": F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)), "_kind": F.lit(1)})
+    return own.union(rest)
+
+
+def likely(rows: DataFrame, percent: int, least: float) -> tuple[DataFrame, int]:
     """a, b: links that connect the components (c) of which two members in one bucket have an estimate of at least least.
 
-    rows: k, rep, c, n, bands, blocks. A bucket's registers are compared in its task, block against block, and only the
-    links of a forest over its components leave the task.
+    rows: k, _at, _kind, c, n, bands of _met(). The registers of a bucket are compared in the tasks of its blocks, and only
+    the links of a forest over its components leave a task.
     """
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = _blocked(rows, "rep", "blocks").repartition(parts, "k", "_x", "_y").sortWithinPartitions("k", "_x", "_y").select("k", "_x", "_y", "_own", "c", "n", "bands")
+    dealt = rows.select("k", "_at", "_kind", "c", "n", "bands").repartition(parts, "k", "_at").sortWithinPartitions("k", "_at", "_kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in _grouped(batches, 3):
-            own, c, n = np.array(g["_own"]), np.array(g["c"]), np.array(g["n"])
-            regs = np.array(g["bands"], "<i8").view(np.uint16)
-            forest, out = _Forest(), []
-            left, right = np.flatnonzero(own == g["_x"][0]), np.flatnonzero(own == g["_y"][0])
-            for i in left:
-                j = right[(c[right] != c[i]) & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))]
-                if not len(j):
+        block = _Block()
+        for b in batches:
+            out = []
+            regs = b.column(5).flatten().to_numpy().reshape(b.num_rows, -1).view(np.uint16)
+            for k, at, kind, c, n, own in zip(*(b.column(i).to_pylist() for i in range(5)), regs, strict=True):
+                if (k, at) != block.name:
+                    block = _Block((k, at))
+                if kind == 0:
+                    block.add(c, n, own)
                     continue
-                j = j[(regs[j] == regs[i]).mean(1) >= least]
-                for other in np.unique(c[j]).tolist():
-                    if forest.join(int(c[i]), other):
-                        out.append((int(c[i]), other))
-            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in (0, 1)], ["a", "b"])
-
-    return dealt.mapInArrow(run, "a long, b long")
-
-
-def common_counts(x: list[np.ndarray], y: list[np.ndarray], width: int = 4096) -> np.ndarray:
-    """Sizes of the intersections of each set of x with each of y, by products of incidence matrices."""
-    ids = np.concatenate([*x, *y]) if x or y else np.zeros(0, np.uint64)
-    names, inverse, n = np.unique(ids, return_inverse=True, return_counts=True)
-    number = np.where(n > 1, np.cumsum(n > 1) - 1, -1)[inverse]  # what one set alone has counts for no pair
-    owner = np.repeat(np.arange(len(x) + len(y)), [len(s) for s in (*x, *y)])
-    keep = number >= 0
-    number, owner = number[keep], owner[keep]
-    order = np.argsort(number, kind="stable")
-    number, owner = number[order], owner[order]
-    out = np.zeros((len(x), len(y)), np.float32)
-    for at in range(0, int(number[-1]) + 1 if len(number) else 0, width):
-        a, z = np.searchsorted(number, [at, at + width])
-        m = np.zeros((len(x) + len(y), width), np.float32)
-        m[owner[a:z], number[a:z] - at] = 1
-        out += m[: len(x)] @ m[len(x) :].T
-    return out.astype(np.int64)
-
-
-def across(rows: DataFrame, docs: DataFrame, size: int, percent: int, block: int, few: int = 256) -> DataFrame:
-    """a, b: confirmed links that connect components (c) within groups (g). rows: rep, c, g.
-
-    A group's texts meet in tasks of at most two blocks, where all pairs across components are counted on full sets; the
-    links of a forest leave a task.
+                j = block.near(c, n, percent)
+                if len(j):
+                    j = j[(block.table()[j] == own).mean(1) >= least]
+                    out += [(c, x) for x in np.unique(block.c[j]).tolist() if block.forest.join(c, x)]
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    return counted(dealt.mapInArrow(tidy(run), "a long, b long"))
+
+
+class _Block:
+    """Members of a block of a group: component, set size, and what is compared."""
+
+    def __init__(self, name=None):
+        self.name, self.forest = name, _Forest()
+        self.cs, self.ns, self.held, self.ready = [], [], [], False
+
+    def add(self, c: int, n: int, what: np.ndarray) -> None:
+        self.cs.append(c)
+        self.ns.append(n)
+        self.held.append(what)
+        self.ready = False
+
+    def near(self, c: int, n: int, percent: int) -> np.ndarray:
+        """Members of other components whose sizes allow the similarity."""
+        if not self.ready:
+            self.c, self.n, self.ready, self._table, self._index = np.array(self.cs, np.int64), np.array(self.ns, np.int64), True, None, None
+        return np.flatnonzero((self.c != c) & (100 * np.minimum(self.n, n) >= percent * np.maximum(self.n, n)))
+
+    def table(self) -> np.ndarray:
+        if self._table is None:
+            self._table = np.stack(self.held)
+        return self._table
+
+    def common(self, s: np.ndarray) -> np.ndarray:
+        """Sizes of the intersections of s with the members' sets, from an index of shingles to members."""
+        if self._index is None:
+            ids, owner = np.concatenate(self.held), np.repeat(np.arange(len(self.held)), [len(x) for x in self.held])
+            order = np.argsort(ids, kind="stable")
+            self._index = ids[order], owner[order]
+        ids, owner = self._index
+        lo, hi = np.searchsorted(ids, s, "left"), np.searchsorted(ids, s, "right")
+        many = hi - lo
+        at = np.repeat(lo - np.append(0, np.cumsum(many)[:-1]), many) + np.arange(int(many.sum()))
+        return np.bincount(owner[at], minlength=len(self.held))
+
+
+def across(rows: DataFrame, n_rows: int, docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, int]:
+    """a, b: confirmed links that connect components (c) within groups (g). rows: g, _at, _kind, c, rep of _met().
+
+    The texts of a block of a group meet in a task all of the group's texts outside its main component; pairs across
+    components are counted on full sets, and the links of a forest leave the task.
     """
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sizes = rows.groupBy("g").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
-    ids = rows.select("rep").distinct()
-    if ids.count() <= 1_000_000:  # else the join below does without
-        texts = texts.join(F.broadcast(ids), "rep", "left_semi")
-    dealt = _blocked(rows.distinct().join(sizes, "g").join(texts, "rep"), "rep", "blocks").repartition(parts, "g", "_x", "_y").sortWithinPartitions("g", "_x", "_y").select("g", "_x", "_y", "_own", "rep", "c", "text")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = _texts(docs, rows, n_rows).select("g", "_at", "_kind", "c", "rep", "text").repartition(parts, "g", "_at").sortWithinPartitions("g", "_at", "_kind", "rep")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHashes()
-        for g in _grouped(batches, 3):
-            own, c, rep = np.array(g["_own"]), np.array(g["c"]), g["rep"]
-            sets = [shingles(words.of(raw(t, lower=True)), size) for t in g["text"]]
-            n = np.array([len(s) for s in sets])
-            forest, out = _Forest(), []
-            # the largest component's members are held against the others, not against each other
-            names, many = np.unique(c, return_counts=True)
-            main = names[many.argmax()]
-            left, right = np.flatnonzero((own == g["_x"][0]) & (c != main)), np.flatnonzero(own == g["_y"][0])
-            if g["_x"][0] != g["_y"][0]:
-                left, right = np.flatnonzero(c != main), np.arange(len(c))
-            for a in range(0, len(left), few):
-                i = left[a : a + few]
-                common = common_counts([sets[k] for k in i], [sets[k] for k in right])
-                ok = (100 * common >= percent * (n[i][:, None] + n[right][None] - common)) & (c[i][:, None] != c[right][None]) & (common > 0)
-                for p, q in zip(*np.nonzero(ok), strict=True):
-                    if forest.join(int(c[i[p]]), int(c[right[q]])):
-                        out.append((rep[i[p]], rep[right[q]]))
-            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in (0, 1)], ["a", "b"])
-
-    return dealt.mapInArrow(run, "a long, b long")
-
-
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, margin: float = 0.175, block: int = 2000) -> DataFrame:
+        words, block, reps = WordHashes(), _Block(), []
+        for b in batches:
+            out = []
+            for g, at, kind, c, rep, text in zip(*(b.column(i).to_pylist() for i in range(5)), b.column(5), strict=True):
+                s = shingles(words.of(raw(text.as_py(), lower=True)), size)
+                if (g, at) != block.name:
+                    block, reps = _Block((g, at)), []
+                if kind == 0:
+                    block.add(c, len(s), s)
+                    reps.append(rep)
+                    continue
+                if not len(s) or not len(near := block.near(c, len(s), percent)):
+                    continue
+                common = block.common(s)[near]
+                for j in near[(100 * common >= percent * (len(s) + block.n[near] - common)) & (common > 0)]:
+                    if block.forest.join(c, int(block.c[j])):
+                        out.append((rep, reps[j]))
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    return counted(dealt.mapInArrow(tidy(run), "a long, b long"))
+
+
+def _mains(rows: DataFrame, by: str, weight: str, block: int) -> DataFrame:
+    """Of each group (by) of rows (by, c, weight) with several components: main, the largest, and blocks, of some block weight."""
+    per = rows.groupBy(by, "c").agg(F.count("*").alias("_m"), F.sum(weight).alias("_w"))
+    out = per.groupBy(by).agg(F.max_by("c", F.struct("_m", "c")).alias("main"), F.count("*").alias("_several"), F.ceil(F.sum("_w") / block).cast("int").alias("blocks"))
+    return out.where("_several > 1").select(by, "main", "blocks")
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, margin: float = 0.175, block_members: int = 1000, block_shingles: int = 1_000_000) -> DataFrame:
     """A row for each doc_id of docs (doc_id, text): n_shingles, component_id, kept.
 
     Linked are documents whose sets of ``size``-word shingles (A-Z lower-cased) have 100 * intersection >= percent *
@@ -277,52 +276,59 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, margin: f
     Null and empty texts have an empty set and are linked with nothing. Rows that share a doc_id are one document with
     the links of all of its rows; n_shingles is the largest. Rows with a null doc_id are one such document, linked with
     nothing and kept. Other columns are ignored; an empty table gives an empty result.
+
+    A task compares a block of some block_members registers, or texts with some block_shingles shingles, at a time.
     """
     tune(docs.sparkSession)
     least = percent / 100 - margin
     found = cut(sketches(docs, size))
     usable = found.where("n > 0 and doc_id is not null")
-    classes = usable.groupBy("h1", "h2", "n").agg(F.min(F.struct("doc_id", "bands")).alias("m")).select("h1", "h2", "n", F.col("m.doc_id").alias("rep"), F.col("m.bands").alias("bands"))
-    classes = cut(classes)
+    classes = cut(usable.groupBy("h1", "h2", "n").agg(F.min(F.struct("doc_id", "bands")).alias("m")).select("h1", "h2", "n", F.col("m.doc_id").alias("rep"), F.col("m.bands").alias("bands")))
     reps = classes.select("rep", "n", "bands")
-    keyed = reps.select("rep", "n", F.posexplode_outer("bands").alias("_p", "_k")).select("rep", "n", F.xxhash64("_p", "_k").alias("k"))
-    shared = keyed.groupBy("k").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi")
+    keyed = reps.select("rep", F.posexplode_outer("bands").alias("_p", "_k")).select("rep", F.xxhash64("_p", "_k").alias("k"))
+    shared = keyed.groupBy("k").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("k", "lo")
     buckets = cut(keyed.join(shared, "k"))
 
-    def promising(pairs: DataFrame) -> DataFrame:
-        x = reps.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("bands").alias("ra"))
-        y = reps.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("bands").alias("rb"))
-        out = pairs.join(y, "b").join(x, "a").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-        return out.select("a", "b", estimate(agreeing(F.col("ra"), F.col("rb")), F.col("na"), F.col("nb")).alias("est")).where(F.col("est") >= least)
-
+    x = reps.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("bands").alias("ra"))
+    y = reps.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("bands").alias("rb"))
     tries = buckets.where("lo != rep").select(F.col("lo").alias("a"), F.col("rep").alias("b")).distinct()
-    tries = cut(promising(tries))
-    # the least of the members that seem similar enough: so a group gathers around one document
-    wanted = F.coalesce(F.min(F.when(F.col("est") >= percent / 100, F.col("a"))), F.max_by("a", F.struct("est", "a")))
-    best = tries.groupBy("b").agg(wanted.alias("a"))
-    links = cut(confirm(best, docs, size, percent))
-    first = components(links)
+    tries = tries.join(x, "a").join(y, "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    tries = tries.select("a", "b", estimate(agreeing(F.col("ra"), F.col("rb")), F.col("na"), F.col("nb")).alias("est")).where(F.col("est") >= least)
+    # first the least of the members that seem similar enough: so a group gathers around one document
+    own = Window.partitionBy("b")
+    wanted = F.coalesce(F.min(F.when(F.col("est") >= percent / 100, F.col("a"))).over(own), F.max_by("a", F.struct("est", "a")).over(own))
+    tries, n_tries = counted(tries.withColumn("_first", F.col("a") == wanted))
+    links, n_links = confirm(tries.where("_first").select("a", "b"), n_tries, docs, size, percent)
+    label, n_label = components(links)
+
+    def named(df: DataFrame, c: str, to: str) -> DataFrame:
+        return df.join(aid(label.select(F.col("id").alias(c), F.col("label").alias("_c")), n_label), c, "left").withColumn(to, F.coalesce("_c", c)).drop("_c")
+
     # what these tries left apart: the best try between any two components
-    label = lambda c, to: first.select(F.col("id").alias(c), F.col("label").alias(to))
-    apart = tries.join(best.withColumn("_done", F.lit(1)), ["a", "b"], "left_anti").join(label("a", "ca"), "a", "left").join(label("b", "cb"), "b", "left")
-    apart = apart.withColumns({"ca": F.coalesce("ca", "a"), "cb": F.coalesce("cb", "b")}).where("ca != cb")
+    apart = named(named(tries.where("not _first").drop("_first"), "a", "ca"), "b", "cb").where("ca != cb")
     second = apart.groupBy(F.least("ca", "cb"), F.greatest("ca", "cb")).agg(F.max_by(F.struct("a", "b"), F.struct("est", "a", "b")).alias("e")).select("e.a", "e.b")
-    more = cut(confirm(second, docs, size, percent))
-    if not more.isEmpty():
-        links = cut(links.union(more))
-        first = components(links)
-    member = buckets.select("k", "rep").join(first.withColumnRenamed("id", "rep"), "rep", "left").select("k", "rep", F.coalesce("label", "rep").alias("c"))
-    member = cut(member)
-    open_keys = member.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m")).where("lo < hi").select("k", F.ceil(F.col("m") / block).cast("int").alias("blocks"))
-    near = cut(likely(member.join(open_keys, "k").join(reps, "rep"), percent, least))
-    if near.isEmpty():
-        labels = first
-    else:
-        super_group = components(near)
-        in_group = reps.join(first.withColumnRenamed("id", "rep"), "rep", "left").select("rep", F.coalesce("label", "rep").alias("c")).join(super_group.toDF("c", "g"), "c")
-        more = cut(across(in_group, docs, size, percent, block))
-        labels = first if more.isEmpty() else components(links.union(more))
-    rows = found.join(classes.select("h1", "h2", "n", "rep"), ["h1", "h2", "n"], "left").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
+    second, n_second = counted(second)
+    if n_second:
+        more, n_more = confirm(second, n_second, docs, size, percent)
+        if n_more:
+            links, n_links = links.union(more), n_links + n_more
+            label, n_label = components(links)
+    member = named(buckets.select("k", "rep"), "rep", "c")
+    open_keys = member.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("k")
+    member = cut(member.join(open_keys, "k", "left_semi"))
+    mains, n_mains = counted(_mains(member.withColumn("_w", F.lit(1)), "k", "_w", block_members))
+    if n_mains:
+        near, n_near = likely(_met(member.join(aid(mains, n_mains), "k")).join(reps, "rep"), percent, least)
+        if n_near:
+            group, n_group = components(near)
+            in_group = named(reps.select("rep", "n"), "rep", "c").join(aid(group.toDF("c", "g"), n_group), "c")
+            in_group = cut(in_group)
+            met, n_met = counted(_met(in_group.join(aid(_mains(in_group, "g", "n", block_shingles), n_group), "g")))
+            more, n_more = across(met, n_met, docs, size, percent)
+            if n_more:
+                label, n_label = components(links.union(more))
+    rows = found.join(classes.select("h1", "h2", "n", "rep"), ["h1", "h2", "n"], "left")
+    rows = rows.join(aid(label.withColumnRenamed("id", "rep"), n_label), "rep", "left")
     rows = rows.select("doc_id", "n", F.coalesce("label", F.when(F.col("n") > 0, F.col("rep")), "doc_id").alias("c"))
     out = rows.groupBy("doc_id").agg(F.max("n").alias("n_shingles"), F.min("c").alias("c"))
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("c")).alias("component_id"), F.col("doc_id").eqNullSafe(F.when(F.col("doc_id").isNotNull(), F.col("c"))).alias("kept"))

@@ -108,6 +108,8 @@ def test_near_duplicates_of_a_family(spark):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out if r["doc_id"] is not None} == want
     lone = next(r for r in out if r["doc_id"] is None)
     assert lone["kept"] and lone["component_id"] is None
+    small = hyperminhash.near_duplicates(df, 2, 80, block_members=7, block_shingles=300).where("doc_id is not null").collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in small} == want
 
 
 def test_near_duplicates_empty(empty):
@@ -126,9 +128,13 @@ def test_estimate(spark):
         assert abs(est - j) < 0.15
 
 
-def test_components(spark):
-    links = [(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)]
-    out = components.components(spark.createDataFrame(links, "a long, b long")).collect()
+@pytest.mark.parametrize("finish", [components.CHUNK, 0])
+def test_components(spark, finish):
+    """By one task and by rounds: a chain, a pair, a link of a node to itself, a null end."""
+    links = [(i, i + 1) for i in range(40)] + [(100, 101), (7, 7), (None, 5), (60, None)]
+    out, n = components.components(spark.createDataFrame(links, "a long, b long").repartition(5), finish)
+    out = out.collect()
+    assert len(out) <= n
     assert {r["id"]: r["label"] for r in out} == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
 
 
@@ -217,11 +223,11 @@ def test_lines(spark):
     rows = line_corpus()
     short = [r for r in rows if r[0] < 302]
     want = brute_lines(short, 2, 20) | {302: "x" * 50_000, 303: ""}
-    df = spark.createDataFrame([*rows, rows[0]], "doc_id long, text string").withColumns({"n_lines": F.lit("other"), "line": F.lit(1), "at": F.lit(2)}).repartition(4)
+    df = spark.createDataFrame([*rows, rows[0]], "doc_id long, text string").withColumns({"n_lines": F.lit("other"), "line": F.lit(1), "at": F.lit(2), "_gone": F.lit(3), "_DOC": F.lit(4), "first": F.lit(5)}).repartition(4)
     out = line_edit.deduplicate(df).collect()
     assert len(out) == len(rows) + 1
     assert {r["doc_id"]: r["kept_text"] for r in out} == want
-    assert all(r["line"] == 1 and r["at"] == 2 for r in out)
+    assert all((r["line"], r["at"], r["_gone"], r["_DOC"], r["first"]) == (1, 2, 3, 4, 5) for r in out)
 
 
 def test_lines_open_keys(spark, monkeypatch):
@@ -229,8 +235,11 @@ def test_lines_open_keys(spark, monkeypatch):
     rows = [r for r in line_corpus(9) if r[0] < 302]
     whole = line_edit.match
     monkeypatch.setattr(line_edit, "match", lambda found, limit: whole(found, limit, few=0))
-    out = line_edit.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert {r["doc_id"]: r["kept_text"] for r in out} == brute_lines(rows, 2, 20)
+    links = line_edit.line_links
+    for block in (4000, 5):  # keys in one block, and in several
+        monkeypatch.setattr(line_edit, "line_links", lambda *a, block=block: links(*a, block=block))
+        out = line_edit.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert {r["doc_id"]: r["kept_text"] for r in out} == brute_lines(rows, 2, 20)
 
 
 def test_lines_without_doc_id(spark):
