@@ -6,8 +6,9 @@ have, only those of its own substrings that such a segment can match. Keys are h
 
 Keys are dealt in packed shares and matched there by sorting. Candidates must also agree in a 64-bit signature of their
 characters' parities, of which an edit changes two bits at most. A key that holds more candidates than a few per line
-gives a star around its first line at once and is left open; when the links found so far are connected, only its pairs
-across components are tried. Candidates are confirmed on the lines' characters by a banded bit-parallel edit distance.
+gives a star around its first line at once and is left open. When the links found so far are connected, the lines of an
+open key outside its largest component meet all of its lines, block by block, and a forest's links leave each task.
+Candidates are confirmed on the lines' characters by a banded bit-parallel edit distance.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, tune
+from .common import aid, counted, cut, tidy, tune, unused
 from .components import components
 from .words import mix
 
@@ -88,7 +89,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of a base and of its inverse; kept by the worker."""
     if not _POWERS or len(_POWERS[0]) < n:
         base = 0x9FB21C651E98DF25
-        own = [np.full(1 << max(20, n.bit_length()), x, np.uint64) for x in (base, pow(base, -1, 1 << 64))]
+        own = [np.full(1 << max(16, n.bit_length()), x, np.uint64) for x in (base, pow(base, -1, 1 << 64))]
         for x in own:
             x[0] = 1
         _POWERS[:] = [np.multiply.accumulate(x) for x in own]
@@ -197,7 +198,7 @@ def _occurrences(docs: DataFrame, least: int) -> DataFrame:
                     line.append(line_id(x))
             yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(at, pa.int32()), pa.array(line, pa.int64())], ["doc_id", "at", "line"])
 
-    return docs.mapInArrow(run, "doc_id long, at int, line long")
+    return docs.mapInArrow(tidy(run), "doc_id long, at int, line long")
 
 
 def _candidates(docs: DataFrame, least: int, limit: int) -> DataFrame:
@@ -238,16 +239,13 @@ def _candidates(docs: DataFrame, least: int, limit: int) -> DataFrame:
         if packed:
             yield out(packed)
 
-    dealt = docs.mapInArrow(deal, "share int, packed binary")
-    return dealt.repartition(parts, "share").sortWithinPartitions("share").mapInArrow(meet, "a long, b long, key long, line long, sign long, len long")
+    dealt = docs.mapInArrow(tidy(deal), "share int, packed binary")
+    return dealt.repartition(parts, "share").sortWithinPartitions("share").mapInArrow(tidy(meet), "a long, b long, key long, line long, sign long, len long")
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, occurrences: DataFrame, limit: int, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """The pairs (a, b) of lines within the limit. Only the documents are read in which the lines come first."""
-    pairs = cut(pairs.distinct())
-    wanted = pairs.select(F.col("a").alias("line")).union(pairs.select("b")).distinct()
-    small = wanted.count() <= broadcast_rows  # else the joins below do without
-    place = occurrences.join(F.broadcast(wanted) if small else wanted, "line", "left_semi").groupBy("line").agg(F.min(F.struct("doc_id", "at")).alias("p"))
+def line_texts(wanted: DataFrame, rows: int, docs: DataFrame, occurrences: DataFrame) -> DataFrame:
+    """line, words of the wanted lines (line; rows at most). Only the documents are read in which they come first."""
+    place = occurrences.join(aid(wanted, rows), "line", "left_semi").groupBy("line").agg(F.min(F.struct("doc_id", "at")).alias("p"))
     place = place.groupBy("p.doc_id").agg(F.collect_list(F.struct("p.at", "line")).alias("places"))
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,8 +260,14 @@ def _confirm(pairs: DataFrame, docs: DataFrame, occurrences: DataFrame, limit: i
                         words.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(words, pa.string())], ["line", "words"])
 
-    found = docs.join(F.broadcast(place) if small else place, "doc_id").select("text", "places").mapInArrow(texts, "line long, words string")
-    found = cut(found.groupBy("line").agg(F.min("words").alias("words")))
+    found = docs.join(aid(place, rows), "doc_id").select("text", "places").mapInArrow(tidy(texts), "line long, words string")
+    return cut(found.groupBy("line").agg(F.min("words").alias("words")))
+
+
+def _confirm(pairs: DataFrame, n_pairs: int, docs: DataFrame, occurrences: DataFrame, limit: int) -> tuple[DataFrame, int]:
+    """The pairs (a, b) of lines within the limit, and how many."""
+    wanted = pairs.select(F.col("a").alias("line")).union(pairs.select("b")).distinct()
+    found = line_texts(wanted, 2 * n_pairs, docs, occurrences)
     x, y = found.toDF("a", "x"), found.toDF("b", "y")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,24 +275,70 @@ def _confirm(pairs: DataFrame, docs: DataFrame, occurrences: DataFrame, limit: i
             ok = [within(p, q, limit) for p, q in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(i).filter(pa.array(ok, pa.bool_())) for i in (0, 1)], ["a", "b"])
 
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+    return counted(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(tidy(check), "a long, b long"))
 
 
-def line_links(docs: DataFrame, occurrences: DataFrame, limit: int = 2, least: int = 20) -> DataFrame:
-    """a, b: links between distinct lines within the limit, at least as many as connect what is connected."""
+def across(rows: DataFrame, limit: int) -> tuple[DataFrame, int]:
+    """a, b: links within the limit that connect components (c) within open keys, and how many.
+
+    rows: key, at, kind, line, sign, len, c, words. A block of a key's lines (kind 0) is held by a task, and the key's
+    lines outside its largest component (kind 1) pass it one by one. A line is tried with the lines of a component until
+    one is within the limit, so pairs are never listed.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.select("key", "at", "kind", "line", "sign", "len", "c", "words").repartition(parts, "key", "at").sortWithinPartitions("key", "at", "kind")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, block, label = None, [], None, {}
+
+        def root(x: int) -> int:
+            while label.get(x, x) != x:
+                x = label[x]
+            return x
+
+        for b in batches:
+            out = []
+            for key, at, kind, line, sign, length, c, words in zip(*(x.to_pylist() for x in b.columns), strict=True):
+                if (key, at) != now:
+                    now, held, block, label = (key, at), [], None, {}
+                if kind == 0:
+                    held.append((line, sign, length, c, words))
+                    block = None
+                    continue
+                if block is None:
+                    block = [np.array([h[i] for h in held], np.int64) for i in range(4)]
+                near = (np.abs(block[2] - length) <= limit) & (_bits((block[1] ^ np.int64(sign)).view(np.uint64)) <= 2 * limit) & (block[3] != c)
+                for j in np.flatnonzero(near):
+                    x, y = root(c), root(int(block[3][j]))
+                    if x != y and within(words, held[j][4], limit):
+                        label[max(x, y)] = min(x, y)
+                        out.append((line, held[j][0]))
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    return counted(dealt.mapInArrow(tidy(run), "a long, b long"))
+
+
+def line_links(docs: DataFrame, occurrences: DataFrame, limit: int = 2, least: int = 20, block: int = 4000) -> tuple[DataFrame, int]:
+    """a, b: links between distinct lines within the limit, at least as many as connect what is connected; how many."""
     found = cut(_candidates(docs, least, limit))
-    pairs, left = found.where("a is not null").select("a", "b"), found.where("key is not null").select("key", "line", "sign", "len")
-    links = cut(_confirm(pairs, docs, occurrences, limit))
-    if left.isEmpty():
-        return links
-    label = components(links).withColumnRenamed("id", "line")
-    member = cut(left.distinct().join(label, "line", "left").select("key", "line", "sign", "len", F.coalesce("label", "line").alias("c")))
-    several = member.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    rest = member.join(several, "key", "left_semi")
-    x, y = rest.toDF("key", "a", "sa", "la", "ca"), rest.toDF("key", "b", "sb", "lb", "cb")
-    near = (F.abs(F.col("la") - F.col("lb")) <= limit) & (F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= 2 * limit)
-    across = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near).select("a", "b")
-    return links.union(cut(_confirm(across, docs, occurrences, limit)))
+    pairs, n_pairs = counted(found.where("a is not null").select("a", "b").distinct())
+    left, n_left = counted(found.where("key is not null").select("key", "line", "sign", "len").distinct())
+    links, n_links = _confirm(pairs, n_pairs, docs, occurrences, limit)
+    if not n_left:
+        return links, n_links
+    label, n_label = components(links)
+    member = left.join(aid(label.withColumnRenamed("id", "line"), n_label), "line", "left").select("key", "line", "sign", "len", F.coalesce("label", "line").alias("c"))
+    mains = member.groupBy("key", "c").agg(F.count("*").alias("_n")).groupBy("key").agg(F.max_by("c", F.struct("_n", "c")).alias("main"), F.count("*").alias("_several"), F.ceil(F.sum("_n") / block).cast("int").alias("blocks"))
+    mains, n_mains = counted(mains.where("_several > 1").drop("_several"))
+    if not n_mains:
+        return links, n_links
+    rest = member.join(aid(mains, n_mains), "key")
+    own = rest.withColumns({"at": F.pmod(F.xxhash64("line"), F.col("blocks")).cast("int"), "kind": F.lit(0)})
+    met = own.union(rest.where("c != main").withColumns({"at": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)), "kind": F.lit(1)})).drop("main", "blocks")
+    met, n_met = counted(met)
+    words = line_texts(met.select("line").distinct(), n_met, docs, occurrences)
+    more, n_more = across(met.join(words, "line"), limit)
+    return links.union(more), n_links + n_more
 
 
 def deduplicate(docs: DataFrame, limit: int = 2, least: int = 20) -> DataFrame:
@@ -307,19 +357,20 @@ def deduplicate(docs: DataFrame, limit: int = 2, least: int = 20) -> DataFrame:
     docs = docs.drop("kept_text", "n_lines", "n_removed", "n_words_left")
     own = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     occurrences = cut(_occurrences(own, least))
-    links = cut(line_links(own, occurrences, limit, least).select("a", "b"))
-    lines = occurrences.groupBy("line").agg(F.min(F.struct("doc_id", "at")).alias("first"))
-    if links.isEmpty():
-        heads = lines
-    else:
-        label = components(links).withColumnRenamed("id", "line")
-        near = label.join(lines, "line")
-        heads = near.groupBy("label").agg(F.min("first").alias("first")).join(label, "label").select("line", "first")
-        heads = lines.join(label, "line", "left_anti").select("line", "first").union(heads)
-    gone = occurrences.join(heads, "line").where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("at") != F.col("first.at"))).groupBy("doc_id").agg(F.collect_set("at").alias("_gone")).withColumnRenamed("doc_id", "_doc")
-    joined = docs.join(gone, F.col("doc_id") == F.col("_doc"), "left").drop("_doc")
-    at, gone_at = joined.columns.index("text"), joined.columns.index("_gone")
-    names = [c for c in joined.columns if c != "_gone"]
+    links, n_links = line_links(own, occurrences, limit, least)
+    lines = occurrences.groupBy("line").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("n"))
+    if n_links:
+        label, n_label = components(links)
+        label = label.withColumnRenamed("id", "line")
+        heads = label.join(lines, "line").groupBy("label").agg(F.min("first").alias("_head")).join(aid(label, n_label), "label").select("line", "_head")
+        lines = lines.join(aid(heads, n_label), "line", "left").select("line", F.coalesce("_head", "first").alias("first"), F.when(F.col("_head").isNull(), F.col("n")).otherwise(F.lit(2)).alias("n"))
+    # a line that comes once and is like none needs no look at where it is
+    gone = occurrences.join(lines.where("n > 1").select("line", "first"), "line").where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("at") != F.col("first.at")))
+    doc, at_gone = unused(docs, "_doc"), unused(docs, "_gone")
+    gone = gone.groupBy(F.col("doc_id").alias(doc)).agg(F.collect_set("at").alias(at_gone))
+    joined = docs.join(gone, F.col("doc_id") == F.col(doc), "left").drop(doc)
+    at, gone_at = joined.columns.index("text"), joined.columns.index(at_gone)
+    names = [c for c in joined.columns if c != at_gone]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -331,10 +382,7 @@ def deduplicate(docs: DataFrame, limit: int = 2, least: int = 20) -> DataFrame:
                 kept = [x for i, x in enumerate(lines) if i not in drop]
                 left = t if not drop else "\n".join(kept)
                 rows.append((left, len(lines), len(lines) - len(kept), len((left or "").split())))
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i, c in enumerate(joined_names) if c != "_gone"), *(pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.string(), pa.int64(), pa.int64(), pa.int64())))], [*names, "kept_text", "n_lines", "n_removed", "n_words_left"])
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(names) + 1) if i != gone_at), *(pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.string(), pa.int64(), pa.int64(), pa.int64())))], [*names, "kept_text", "n_lines", "n_removed", "n_words_left"])
 
-    joined_names = list(joined.columns)
     schema = T.StructType([*docs.schema.fields, T.StructField("kept_text", T.StringType()), *(T.StructField(c, T.LongType()) for c in ("n_lines", "n_removed", "n_words_left"))])
-    return joined.mapInArrow(run, schema)
-
-
+    return joined.mapInArrow(tidy(run), schema)
