@@ -1,6 +1,11 @@
 """A training-data pipeline over ``documents``: quality, line dedup, near dedup, decontamination, packing.
 
 Each stage reads what its predecessor kept. run() writes every stage's result to the shared folder and reads it again.
+
+Every stage but the last returns the columns of documents and ignores others, whatever their names. Repeated rows are
+judged alike and all stay or all go; ties are decided by the smaller doc_id. Rows with a null doc_id have no duplicates
+and are judged by their text alone. Null and empty texts have the labelled documents' share of good ones as their score;
+they have no lines, words or windows, so the later stages keep them. An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -30,19 +35,21 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the smallest doc_id, of each group of near duplicates."""
+    docs = docs.select(*COLUMNS)
     kept = hyperminhash.near_duplicates(docs, size=5, percent=80).where("kept").select(F.col("doc_id").alias("_id"))
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a window of words from a benchmark item."""
+    docs = docs.select(*COLUMNS)
     hit = winnowing.decontaminate(docs, table(spark, sf_dir, "benchmark")).where("n_hit > 0").select(F.col("doc_id").alias("_id"))
     return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti").select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences of at most 2048 tokens."""
-    return bin_slack.pack_documents(docs, tokenizer_path())
+    return bin_slack.pack_documents(docs.select(*COLUMNS), tokenizer_path())
 
 
 STAGES = [("quality", quality), ("lines", lines), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("packing", packing)]
