@@ -8,11 +8,12 @@ Everything here is DataFrame functions.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import aid, counted, cut
 
+LINK = r"(?i)\bhref\s*=\s*[\"']?\s*(?:https?:)?(//[^\"'\s>]+)"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: (verdict, host, path)
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
@@ -37,10 +38,14 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def host_edges(pages: DataFrame) -> DataFrame:
-    """src, dst, weight: pages' absolute links to other hosts, and one edge each way between a host and its parent domain."""
+    """src, dst, weight: pages' links to other hosts, and one edge each way between a host and its parent domain.
+
+    A link is an href, quoted or not, with http:// or https:// or the page's own scheme (//host). Others stay on the host.
+    A page counts once for each host that it links to.
+    """
     host = host_of(F.col("url"))
-    urls = F.regexp_extract_all(F.coalesce(F.col("html").cast("string"), F.lit("")), F.lit(r"(?i)\b(?:href|src)\s*=\s*[\"'](https?://[^\"'\s>]+)"), 1)
-    links = pages.select(host.alias("src"), F.explode(F.array_distinct(F.transform(urls, host_of))).alias("dst")).groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
+    urls = F.regexp_extract_all(F.coalesce(F.col("html").cast("string"), F.lit("")), F.lit(LINK), 1)
+    links = pages.select(host.alias("src"), F.explode(F.array_distinct(F.transform(urls, lambda x: host_of(F.concat(F.lit(":"), x))))).alias("dst")).groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
     hosts = pages.select(host.alias("src")).union(links.select("dst")).distinct().where("src != ''")
     # a.b.c -> b.c -> c: each host and its parents
     labels = F.split("src", "[.]")
@@ -50,35 +55,41 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.union(both).where("src != dst and src != '' and dst != ''").groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-6) -> DataFrame:
+def propagate(seeds: DataFrame, edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-6, rounds: int = 4, flows_per_task: int = 250_000) -> DataFrame:
     """host, trust, distrust. seeds: host, trust, distrust (weights, any scale); edges: src, dst, weight.
 
     Masses start from the seeds' own and only grow. Rounds end when no host's grow by more than tolerance of themselves;
     as a host's first mass is all growth, each host that a seed reaches has its share by then. Mass of hosts without a
-    link onwards is dropped. Each round is written to the shared folder.
+    link onwards is dropped. A round is one aggregation; every few rounds the masses are written to the shared folder, by
+    one task for flows_per_task edges.
     """
     totals = seeds.agg(F.sum("trust").alias("t"), F.sum("distrust").alias("d")).first()
     t, d = (float(x or 0) or 1.0 for x in (totals["t"], totals["d"]))
-    seeds = cut(seeds.select("host", (F.col("trust") / t).alias("_t"), (F.col("distrust") / d).alias("_d")))
-    outs = edges.groupBy("src").agg(F.sum("weight").alias("_all"))
-    ins = edges.groupBy("dst").agg(F.sum("weight").alias("_all"))
-    ahead = edges.join(outs, "src").select(F.col("src").alias("host"), F.col("dst").alias("to"), (F.col("weight") / F.col("_all")).alias("wt"), F.lit(0.0).alias("wd"))
-    back = edges.join(ins, "dst").select(F.col("dst").alias("host"), F.col("src").alias("to"), F.lit(0.0).alias("wt"), (F.col("weight") / F.col("_all")).alias("wd"))
-    flows = cut(ahead.union(back).groupBy("host", "to").agg(F.sum("wt").alias("wt"), F.sum("wd").alias("wd")))
-    own = seeds.select("host", ((1 - damping) * F.col("_t")).alias("trust"), ((1 - damping) * F.col("_d")).alias("distrust"))
-    none, grows = F.lit(0.0), lambda c: F.col(c) - F.col(f"_{c}") > tolerance * F.col(c)
-    state = own
+    zero = F.lit(0.0)
+    names = ["host", "to", "wt", "wd", "same", "t", "d"]  # same: 1 on the row by which a host keeps its own mass
+    share = lambda by: damping * F.col("weight") / F.sum("weight").over(Window.partitionBy(by))
+    ahead = edges.select("src", F.col("dst").alias("to"), share("src").alias("w")).select("src", "to", "w", zero, zero, zero, zero).toDF(*names)
+    back = edges.select("dst", F.col("src").alias("to"), share("dst").alias("w")).select("dst", "to", zero, "w", zero, zero, zero).toDF(*names)
+    stay = edges.select("src", zero, zero).union(edges.select("dst", zero, zero)).union(seeds.select("host", (1 - damping) / t * F.col("trust"), (1 - damping) / d * F.col("distrust"))).toDF("host", "t", "d")
+    stay = stay.groupBy("host").agg(F.sum("t").alias("t"), F.sum("d").alias("d")).select("host", F.col("host").alias("to"), zero.alias("wt"), zero.alias("wd"), F.lit(1.0).alias("same"), "t", "d")
+    flows, n = counted(ahead.union(back).union(stay).groupBy("host", "to").agg(*(F.sum(c).alias(c) for c in names[2:])))
+    tasks = 1 + n // flows_per_task
+    flows = cut(flows.coalesce(tasks))
+    state = flows.where("same > 0").select("host", F.col("t").alias("trust"), F.col("d").alias("distrust"))
+    grows = lambda c: F.col(c) - F.col(f"_{c}") > tolerance * F.col(c)
+    next_of = lambda c, w, own: F.sum(F.col(c) * F.col(w) + F.col(own)).alias(c)
+    kept = lambda c: F.sum(F.col(c) * F.col("same")).alias(f"_{c}")
     while True:
-        moved = flows.join(state, "host").groupBy("to").agg((damping * F.sum(F.col("trust") * F.col("wt"))).alias("trust"), (damping * F.sum(F.col("distrust") * F.col("wd"))).alias("distrust"))
-        new = moved.withColumnRenamed("to", "host").union(own).select("*", none.alias("_trust"), none.alias("_distrust"))
-        old = state.select("host", none, none, "trust", "distrust")
-        state = cut(new.union(old).groupBy("host").agg(*(F.sum(c).alias(c) for c in ("trust", "distrust", "_trust", "_distrust"))))
-        if state.where(grows("trust") | grows("distrust")).isEmpty():
-            return state.select("host", "trust", "distrust")
-        state = state.select("host", "trust", "distrust")
+        seen, step = Observation(), state
+        for _ in range(rounds):
+            met = flows.join(aid(step.select("host", "trust", "distrust"), n), "host")
+            step = met.groupBy(F.col("to").alias("host")).agg(next_of("trust", "wt", "t"), next_of("distrust", "wd", "d"), kept("trust"), kept("distrust")).coalesce(tasks)
+        state = cut(step.observe(seen, F.count(F.when(grows("trust") | grows("distrust"), 1)).alias("growing")).select("host", "trust", "distrust"))
+        if not seen.get["growing"]:
+            return state
 
 
-def judged(pages: DataFrame, rules=RULES, damping: float = 0.85, tolerance: float = 1e-6, margin: float = 1e-5) -> DataFrame:
+def judged(pages: DataFrame, rules=RULES, damping: float = 0.85, tolerance: float = 1e-4, margin: float = 1e-3) -> DataFrame:
     """All columns of pages' page_id with host, path, rule, verdict, trust and distrust of the host.
 
     What no rule decides is blocked if its host's distrust exceeds its trust by more than margin of the trust, else
