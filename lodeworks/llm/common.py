@@ -98,8 +98,8 @@ class Scratch:
 
 
 def held_out(doc_id) -> "F.Column":
-    """The fold that labels are never learned from: crc32(doc_id as text) mod 3 is 1."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
+    """The fold that labels are never learned from: crc32(doc_id as text) mod 3 is 1. A null doc_id is not in it."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
 def ascii_lower(text):

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import tune
+from .common import tidy, tune
 
 WORD_TERMS = 1024
 
@@ -129,10 +129,13 @@ def learn(x: np.ndarray, y: np.ndarray, dims: int = 48, neighbours: int = 15, sh
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, max_rows: int) -> DataFrame:
-    """At most max_rows labelled documents (text, label) that may be learned from: those whose hashed doc_id is smallest."""
-    own = labels.where(usable & F.col(label).isNotNull()).select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_label")).dropDuplicates(["_id"])
+    """At most max_rows labelled documents (text, label) that may be learned from: those whose hashed doc_id is smallest.
+
+    Of several labels or texts of a doc_id the least counts, so rows that are repeated or in another order teach the same.
+    """
+    own = labels.where(usable & F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.min(F.col(label).cast("int")).alias("_label"))
     own = own.orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(own), F.col("doc_id") == F.col("_id")).dropDuplicates(["doc_id"]).select("text", "_label")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(own), F.col("doc_id") == F.col("_id")).groupBy("doc_id").agg(F.min(F.struct("text", "_label")).alias("_x")).select("_x.text", "_x._label")
 
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "quality", max_labelled: int = 4096, **options) -> LatentVotes:
@@ -146,7 +149,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "qual
             rows = [(np.flatnonzero(r).astype(np.int32).tobytes(), r[r > 0].tobytes()) for r in x]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.binary()) for i in (0, 1)] + [b.column(1).cast(pa.int32())], ["at", "n", "label"])
 
-    rows = labelled_sample(docs, labels, label, usable, max_labelled).mapInArrow(run, "at binary, n binary, label int").toArrow()
+    rows = labelled_sample(docs, labels, label, usable, max_labelled).mapInArrow(tidy(run), "at binary, n binary, label int").toArrow()
     rows = sorted(zip(*(rows.column(c).to_pylist() for c in ("at", "n", "label")), strict=True), key=lambda r: (r[0], r[1], r[2]))
     x = np.zeros((len(rows), TERMS), np.float32)
     for i, (at, n, _) in enumerate(rows):
@@ -171,4 +174,4 @@ def score(docs: DataFrame, model: LatentVotes) -> DataFrame:
             s = own.score(counts(b.column(at).cast(pa.string()).to_pylist(), words)) if b.num_rows else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], [*b.schema.names, "score"])
 
-    return docs.mapInArrow(run, docs.withColumn("score", F.lit(0.0)).schema)
+    return docs.mapInArrow(tidy(run), docs.withColumn("score", F.lit(0.0)).schema)
