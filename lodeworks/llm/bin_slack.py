@@ -9,7 +9,6 @@ length, and a rank falls into exactly one slot of the plan.
 
 from __future__ import annotations
 
-import base64
 import json
 import zlib
 from collections.abc import Iterator
@@ -19,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, tune
+from .common import cut, tidy, tune
 
 _ENCODERS: dict = {}
 
@@ -27,26 +26,23 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 def encoder(path: str):
-    """A function from a text to its ids by the byte-level BPE of a tokenizer.json.
+    """A function from a text to its ids by a tokenizer.json.
 
-    The vocabulary's ids are its merge ranks, so a faster library reads the same vocabulary; a text that spells a
-    special token goes to the library that the file is made for.
+    The ids are those of the library that the file is made for. Where the file is a plain byte-level BPE (no normaliser,
+    the usual split, and ids that are the merge ranks) a faster library reads the same vocabulary, and only texts that
+    spell a special token go to the first; any other file is read by the first alone.
     """
     if path not in _ENCODERS:
-        import tiktoken
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
+        exact = Tokenizer.from_file(path)
         special = [x["content"] for x in spec.get("added_tokens", [])]
-        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        byte = {chr(x): x for x in plain} | {chr(256 + i): x for i, x in enumerate(sorted({*range(256)} - {*plain}))}
-        ranks = {bytes(byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
-        pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-        fast, exact = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), Tokenizer.from_file(path)
+        fast = _ranked(spec, special) if _plain(spec) else None
 
         def encode(text: str) -> list[int]:
-            if any(x in text for x in special):
+            if fast is None or any(x in text for x in special):
                 return exact.encode(text, add_special_tokens=False).ids
             return fast.encode_ordinary(text)
 
@@ -54,6 +50,29 @@ def encoder(path: str):
     return _ENCODERS[path]
 
 
+def _plain(spec: dict) -> bool:
+    """Whether a tokenizer.json says no more than byte-level BPE by merge ranks."""
+    model, split = spec["model"], spec.get("pre_tokenizer") or {}
+    if model.get("type", "BPE") != "BPE" or spec.get("normalizer") or model.get("dropout") or model.get("unk_token") or model.get("ignore_merges"):
+        return False
+    if model.get("continuing_subword_prefix") or model.get("end_of_word_suffix"):
+        return False
+    if split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True):
+        return False
+    merged = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+    return all(model["vocab"].get(x) == 256 + i for i, x in enumerate(merged))
+
+
+def _ranked(spec: dict, special: list[str]):
+    import tiktoken
+
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that the file spells as themselves
+    byte = {chr(x): x for x in printable} | {chr(256 + i): x for i, x in enumerate(sorted({*range(256)} - {*printable}))}
+    ranks = {bytes(byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
+    pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+
 def cut_pieces(n: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of a document of n ids: only longer ones are cut; the first piece takes the rest."""
     first = (n - 1) % capacity + 1
@@ -77,7 +96,7 @@ def tokenised(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int =
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(5 + with_ids)], names[: 5 + with_ids])
 
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, schema)
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(tidy(run), schema)
 
 
 def fullest(room: int, counts: list[tuple[int, int]]) -> list[int]:
@@ -163,7 +182,7 @@ def pack(pieces: DataFrame, capacity: int, rows_per_salt: int = 250_000) -> Data
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(base[k] + rank - first[k]), pa.array(at[k])], [*names, "sequence_id", "offset"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ranked.schema if f.name != "_rank")
-    return ranked.mapInArrow(place, f"{schema}, sequence_id long, offset long")
+    return ranked.mapInArrow(tidy(place), f"{schema}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
