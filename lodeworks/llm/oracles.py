@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from .license_rules import HINT, KINDS, RULES, SENTENCES, normalise, pattern
+from .license_rules import KINDS, RULES, SENTENCES
+from .link_graph import RULES as URL_RULES
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BLANK_WORDS = r"regexp_extract_all(coalesce({}, ''), '[^\x20\x09-\x0D]+')"
@@ -13,27 +14,53 @@ def _quote(x: str) -> str:
 
 
 def _op4() -> str:
-    known = ", ".join(f"({_quote(normalise(x))}, '{k}')" for k, own in SENTENCES.items() for x in own)
-    steps, left, names = [], "_left", []
-    steps.append("s0 AS (SELECT doc_id, sentence_ids, ';' || replace(sentence_ids, ',', ';') || CASE WHEN sentence_ids = '' THEN '' ELSE ';' END AS _left FROM ids)")
+    """Sentences on one line only: SQL has its own way to cut and normalise; the rules are the operator's data."""
+    known = ", ".join(f"({_quote(x)}, '{k}')" for k, own in SENTENCES.items() for x in own)
+    steps, names = ["s0 AS (SELECT doc_id, ids, ids AS l FROM seq)"], []
     for k, (name, _, own) in enumerate(RULES):
-        to = "".join(f"\\{i + 1}" for i in range(len(own) + 1))
-        p = pattern(own)
-        steps.append(f"s{k + 1} AS (SELECT * EXCLUDE (_left), CASE WHEN regexp_matches(_left, {_quote(p)}) THEN '{name}' END AS r{k}, regexp_replace(_left, {_quote(p)}, {_quote(to)}) AS _left FROM s{k})")
-        names.append(f"r{k}")
+        # each identifier after the place of the one before it
+        at, fits = f"list_position(l, '{own[0]}')", [f"list_contains(l, '{own[0]}')"]
+        for x in own[1:]:
+            step = f"list_position(l[{at} + 1 :], '{x}')"
+            fits.append(f"coalesce({step}, 0) > 0")
+            at = f"({at} + {step})"
+        rest = f"list_filter(l, lambda x: x NOT IN ({', '.join(_quote(x) for x in own)}))"
+        steps.append(f"f{k} AS MATERIALIZED (SELECT *, {' AND '.join(fits)} AS r{k} FROM s{k}), s{k + 1} AS (SELECT * REPLACE (CASE WHEN r{k} THEN {rest} ELSE l END AS l) FROM f{k})")
+        names.append(f"CASE WHEN r{k} THEN '{name}' END")
     kind = "'none'"
     for want in reversed(KINDS):
-        kind = f"CASE WHEN {' OR '.join(f'r{k} IS NOT NULL' for k, r in enumerate(RULES) if r[1] == want)} THEN '{want}' ELSE {kind} END"
-    # a licence that several rules name is listed once, at its first place
-    listed = f"array_to_string(list_filter([{', '.join(names)}], lambda x, i: x IS NOT NULL AND list_position([{', '.join(names)}], x) = i), ';')"
+        kind = f"CASE WHEN {' OR '.join(f'r{k}' for k, r in enumerate(RULES) if r[1] == want)} THEN '{want}' ELSE {kind} END"
+    fired = f"list_filter([{', '.join(names)}], lambda x: x IS NOT NULL)"
     return f"""
-WITH known(norm, sid) AS (VALUES {known}),
-parts AS (SELECT doc_id, unnest(string_split(regexp_replace(coalesce(text, ''), '([.!?])[ \\t\\r]+', '\\1' || chr(10), 'g'), chr(10))) AS s,
-  generate_subscripts(string_split(regexp_replace(coalesce(text, ''), '([.!?])[ \\t\\r]+', '\\1' || chr(10), 'g'), chr(10)), 1) AS at FROM documents),
-found AS (SELECT DISTINCT p.doc_id, p.at, k.sid FROM parts p JOIN known k ON k.norm = trim(regexp_replace(lower(p.s), '[^a-z0-9]+', ' ', 'g')) WHERE regexp_matches(p.s, {_quote(HINT)})),
-ids AS (SELECT d.doc_id, coalesce(string_agg(f.sid, ',' ORDER BY f.at, f.sid), '') AS sentence_ids FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN found f USING (doc_id) GROUP BY d.doc_id),
+WITH known AS (SELECT trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')) AS norm, sid FROM (VALUES {known}) v(s, sid)),
+cut AS (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?])[ \\t\\r]+', '\\1' || chr(10), 'g'), chr(10)) AS p FROM documents),
+parts AS (SELECT doc_id, unnest(p) AS s, generate_subscripts(p, 1) AS at FROM cut),
+found AS (SELECT DISTINCT p.doc_id, p.at, k.sid FROM parts p JOIN known k ON k.norm = trim(regexp_replace(lower(p.s), '[^a-z0-9]+', ' ', 'g'))),
+seq AS (SELECT d.doc_id, coalesce(list(f.sid ORDER BY f.at, f.sid) FILTER (f.sid IS NOT NULL), []) AS ids FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN found f USING (doc_id) GROUP BY d.doc_id),
 {", ".join(steps)}
-SELECT doc_id, sentence_ids, {listed} AS licences, {kind} AS kind, CAST(len(list_filter(string_split(_left, ';'), lambda x: x <> '')) AS BIGINT) AS n_unexplained FROM s{len(RULES)}"""
+SELECT doc_id, array_to_string(ids, ',') AS sentence_ids, array_to_string(list_filter({fired}, lambda x, i: list_position({fired}, x) = i), ';') AS licences, {kind} AS kind, CAST(len(l) AS BIGINT) AS n_unexplained FROM s{len(RULES)}"""
+
+
+def _op9(rounds: int = 150) -> str:
+    """Each round's masses are what the last round's send on, summed at the end; after so many rounds nothing is left of them."""
+    host = lambda x: f"translate(regexp_extract({x}, '(?s)^.*?://([^/?#]*)', 1), '{_UP}', '{_LOW}')"
+    rules = ", ".join(f"('{kind}', '{h}', '{p}', '{h}{p}', {len(h + p)})" for kind, h, p in URL_RULES)
+    return f"""
+WITH RECURSIVE page AS (SELECT page_id, coalesce({host('url')}, '') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path, html FROM pages),
+rules(kind, h, p, name, n) AS (VALUES {rules}),
+fit AS (SELECT page_id, host, path, arg_max(name, n) AS rule, arg_max(kind, n) AS verdict FROM page LEFT JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY ALL),
+link AS (SELECT DISTINCT page_id, host AS src, {host("':' || u")} AS dst FROM (SELECT page_id, host, unnest(regexp_extract_all(html, '(?i)\\bhref\\s*=\\s*["'']?\\s*(?:https?:)?(//[^"''\\s>]+)', 1)) AS u FROM page)),
+links AS (SELECT src, dst, count(*) AS w FROM link GROUP BY ALL),
+hosts AS (SELECT DISTINCT h, string_split(h, '.') AS l FROM (SELECT host AS h FROM page UNION ALL SELECT dst FROM links) WHERE h <> ''),
+up AS (SELECT DISTINCT array_to_string(l[i :], '.') AS a, array_to_string(l[i + 1 :], '.') AS b FROM (SELECT l, unnest(range(1, len(l) - 1)) AS i FROM hosts)),
+edges AS (SELECT src, dst, sum(w) AS w FROM (SELECT * FROM links UNION ALL SELECT a, b, 1 FROM up UNION ALL SELECT b, a, 1 FROM up) WHERE src <> dst AND src <> '' AND dst <> '' GROUP BY src, dst),
+flows AS (SELECT src AS host, dst AS "to", w / sum(w) OVER (PARTITION BY src) AS wt, CAST(0 AS DOUBLE) AS wd FROM edges UNION ALL SELECT dst, src, 0, w / sum(w) OVER (PARTITION BY dst) FROM edges),
+flow AS MATERIALIZED (SELECT host, "to", 0.85 * sum(wt) AS wt, 0.85 * sum(wd) AS wd FROM flows GROUP BY ALL),
+seed AS (SELECT host, avg(CASE WHEN verdict = 'allow' THEN 1.0 ELSE 0 END) AS t, avg(CASE WHEN verdict = 'block' THEN 1.0 ELSE 0 END) AS d FROM fit WHERE host <> '' GROUP BY host),
+mass(n, host, t, d) AS (SELECT 0, host, 0.15 * t / (SELECT greatest(sum(t), 1e-300) FROM seed), 0.15 * d / (SELECT greatest(sum(d), 1e-300) FROM seed) FROM seed
+  UNION ALL SELECT m.n + 1, f."to", sum(m.t * f.wt), sum(m.d * f.wd) FROM mass m JOIN flow f ON f.host = m.host WHERE m.n < {rounds} GROUP BY m.n + 1, f."to"),
+state AS (SELECT host, sum(t) AS t, sum(d) AS d FROM mass GROUP BY host)
+SELECT page_id, fit.host, path, rule, coalesce(verdict, CASE WHEN coalesce(d, 0) > coalesce(t, 0) * (1 + 1e-3) THEN 'block' ELSE 'allow' END) AS verdict FROM fit LEFT JOIN state ON state.host = fit.host"""
 
 
 _WINDOW_WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
@@ -113,4 +140,4 @@ FROM documents d LEFT JOIN kept k USING (doc_id)"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_lines": OP3, "op2_near_duplicates": OP2, "op4_licences": _op4(), "op5_decontamination": OP5, "op6_line_quality": OP6, "op7_substrings": OP7}
+    return {"op9_urls": _op9(), "op3_lines": OP3, "op2_near_duplicates": OP2, "op4_licences": _op4(), "op5_decontamination": OP5, "op6_line_quality": OP6, "op7_substrings": OP7}

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tune
+from .common import tidy, tune
 from .words import WordHashes, mix, raw
 
 ROUNDS = 3
@@ -273,8 +273,8 @@ def later_windows(docs: DataFrame, window: int) -> DataFrame:
         if heads:
             yield out(settle(heads, tails))
 
-    dealt = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(parse, "share int, runs binary, tail binary")
-    return dealt.repartition(parts, "share").sortWithinPartitions("share").mapInArrow(compare, "_doc long, _from long, _to long")
+    dealt = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(parse), "share int, runs binary, tail binary")
+    return dealt.repartition(parts, "share").sortWithinPartitions("share").mapInArrow(tidy(compare), "_doc long, _from long, _to long")
 
 
 def kept_words(words: list[bytes], removed: list[tuple[int, int]], window: int) -> list[bytes]:
@@ -313,4 +313,4 @@ def deduplicate(docs: DataFrame, window: int = 20, with_text: bool = True) -> Da
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds))], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"][: 4 + with_text])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return joined.mapInArrow(digest, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
+    return joined.mapInArrow(tidy(digest), f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)

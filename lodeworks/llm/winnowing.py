@@ -46,7 +46,7 @@ def fingerprints(df: DataFrame, k: int, window: int) -> DataFrame:
     return df.withColumn("_minima", _minima(F.col("_grams"), window - k + 1)).drop("_grams")
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, k: int = 5, broadcast_rows: int = 2_000_000) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, k: int = 5, broadcast_rows: int = 200_000) -> DataFrame:
     """For each document (doc_id, text) how many of its words lie in a window of an item (item_id, text).
 
     An item of fewer words than a window, but not none, is one window. Returns doc_id, n_words, n_hit, hits (array of the
@@ -54,7 +54,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, k: int =
     that share a doc_id, null included, are one document (n_words is the largest); other columns are ignored; an empty
     table on either side gives no hits.
 
-    The items' windows are broadcast while they are at most broadcast_rows, else joined by shuffles.
+    The items' windows are broadcast while they are at most broadcast_rows (some 40 MB), else joined by shuffles.
     """
     span = window - k + 1
     own = items.select(F.col("item_id").cast("string").alias("_item"), words_of(F.col("text")).alias("_words")).where(F.size("_words") > 0)
