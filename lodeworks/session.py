@@ -18,8 +18,11 @@ def session(name: str = "lodeworks", master: str | None = None, **conf: str) ->
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the folder in spark.checkpoint.dir, or our own where that is unset, and cut its lineage there."""
+    """Write df to the folder in spark.checkpoint.dir, or on a local master our own where that is unset, and cut its lineage there."""
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodeworks-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="lodeworks-"))
     return df.checkpoint(eager=True)
