@@ -1,7 +1,7 @@
 """k-means and BFR clustering on array<double> vectors.
 
-Assignments run in numpy on Arrow batches against the centroids, of which there are few; sums and counts are DataFrame
-aggregates that merge, so no points are gathered.
+Assignments and sums run in numpy on Arrow batches against the centroids, of which there are few; what leaves a task are
+counts and sums by cluster, so no points are gathered.
 """
 
 from __future__ import annotations
@@ -41,31 +41,89 @@ def assign(pts: DataFrame, centres: np.ndarray, variances: np.ndarray | None = N
 
 
 def statistics(assigned: DataFrame) -> DataFrame:
-    """cluster, n, mean, meansq (arrays): what merges of a cluster's points."""
-    dims = assigned.select("cluster", F.posexplode("vec").alias("dim", "x")).groupBy("cluster", "dim").agg(F.count("*").alias("n"), F.avg("x").alias("m"), F.avg(F.col("x") * F.col("x")).alias("q"))
-    rows = dims.groupBy("cluster").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("dim", "m", "q"))).alias("s"))
-    return rows.select("cluster", "n", F.transform("s", lambda x: x["m"]).alias("mean"), F.transform("s", lambda x: x["q"]).alias("meansq"))
+    """cluster, n, mean, meansq (arrays): what merges of a cluster's points. Tasks sum arrays, a row for each cluster they have."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict = {}
+        for p in parts:
+            if len(p):
+                x, c = np.stack(p["vec"].to_numpy()), p["cluster"].to_numpy()
+                for k in np.unique(c):
+                    own = x[c == k]
+                    n, m, q = sums.get(k, (0, 0.0, 0.0))
+                    sums[k] = (n + len(own), m + own.sum(0), q + (own**2).sum(0))
+        yield pd.DataFrame([(k, n, m.tolist(), q.tolist()) for k, (n, m, q) in sums.items()], columns=["cluster", "n", "m", "q"])
+
+    kind = assigned.schema["cluster"].dataType.simpleString()
+    rows = assigned.select("cluster", "vec").where("cluster is not null").mapInPandas(run, f"cluster {kind}, n long, m array<double>, q array<double>")
+    added = lambda c: F.aggregate(F.collect_list(c), F.array().cast("array<double>"), lambda a, x: F.when(F.size(a) == 0, x).otherwise(F.zip_with(a, x, lambda u, v: u + v)))
+    rows = rows.groupBy("cluster").agg(F.sum("n").alias("n"), added("m").alias("m"), added("q").alias("q"))
+    return rows.select("cluster", "n", F.transform("m", lambda x: x / F.col("n")).alias("mean"), F.transform("q", lambda x: x / F.col("n")).alias("meansq"))
 
 
 def variance(mean: np.ndarray, meansq: np.ndarray) -> np.ndarray:
     return np.maximum(meansq - mean**2, 1e-9)
 
 
-def initial_centres(pts: DataFrame, k: int) -> np.ndarray:
-    """The lowest id, then each time the point farthest from the last centre, or the lowest unused id if that is used."""
-    first = pts.orderBy("id").limit(1).collect()
-    if not first:
-        return np.zeros((0, 0))
-    used, centres = [first[0]["id"]], [np.array(first[0]["vec"])]
+def _starts(x: np.ndarray, k: int) -> list[int]:
+    """The places of initial_centres() among points sorted by id."""
+    picked, free = [0], np.ones(len(x), bool)
+    free[0] = False
+    while len(picked) < min(k, len(x)):
+        far = int(((x - x[picked[-1]]) ** 2).sum(1).argmax())
+        far = far if free[far] else int(free.argmax())
+        free[far] = False
+        picked.append(far)
+    return picked
+
+
+def initial_centres(pts: DataFrame, k: int, one_task: int = 8_000_000) -> np.ndarray:
+    """The lowest id, then each time the point farthest from the last centre, or the lowest unused id if that is used.
+
+    While the points have at most one_task numbers, one task finds all; else there is a job for each centre, in which a
+    task sends its farthest point and its lowest unused id. Both pick the same.
+    """
+    kind = pts.schema["id"].dataType.simpleString()
+    size = pts.agg(F.sum(F.size("vec"))).first()[0] or 0
+    if size <= one_task:
+
+        def every(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held = [p for p in parts if len(p)]
+            if held:
+                own = pd.concat(held).sort_values("id", kind="stable")
+                picked = _starts(np.stack(own["vec"].to_numpy()), k)
+                yield pd.DataFrame({"n": range(len(picked)), "vec": [own["vec"].iloc[i] for i in picked]})
+
+        rows = sorted(pts.select("id", "vec").coalesce(1).mapInPandas(every, "n int, vec array<double>").collect())
+        return np.array([r["vec"] for r in rows]) if rows else np.zeros((0, 0))
+    used: list = []
+    centres: list[np.ndarray] = []
+
+    def search(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        far, low = None, None
+        for p in parts:
+            free = p[~p["id"].isin(used)]
+            if len(free) and (low is None or free["id"].min() < low[0]):
+                r = free.loc[free["id"].idxmin()]
+                low = (r["id"], r["vec"])
+            if centres and len(p):
+                d = ((np.stack(p["vec"].to_numpy()) - centres[-1]) ** 2).sum(1)
+                r = p[d == d.max()].sort_values("id").iloc[0]
+                if far is None or (-d.max(), r["id"]) < far[:2]:
+                    far = (-d.max(), r["id"], r["vec"])
+        rows = [(0, far[0], far[1], far[2])] if far else []
+        yield pd.DataFrame(rows + ([(1, 0.0, low[0], low[1])] if low else []), columns=["what", "d", "id", "vec"])
+
     while len(centres) < k:
-        far = assign(pts, centres[-1][None]).agg(F.max(F.struct("dist", (-F.col("id")).alias("i"))).alias("x")).first()["x"]
-        one = pts.where(F.col("id") == -far["i"]) if -far["i"] not in used else pts.where(~F.col("id").isin(used)).orderBy("id")
-        found = one.limit(1).collect()
-        if not found:
+        found = sorted(((r["what"], r["d"], r["id"], r["vec"]) for r in pts.select("id", "vec").mapInPandas(search, f"what int, d double, id {kind}, vec array<double>").collect()), key=lambda r: r[:3])
+        pick = next((r for r in found if r[0] == 0), None)
+        if pick is None or pick[2] in used:
+            pick = next((r for r in found if r[0] == 1), None)
+        if pick is None:
             break
-        used.append(found[0]["id"])
-        centres.append(np.array(found[0]["vec"]))
-    return np.stack(centres)
+        used.append(pick[2])
+        centres.append(np.array(pick[3]))
+    return np.stack(centres) if centres else np.zeros((0, 0))
 
 
 def random_membership(pts: DataFrame, k: int) -> DataFrame:
@@ -73,23 +131,49 @@ def random_membership(pts: DataFrame, k: int) -> DataFrame:
     return pts.withColumn("cluster", F.pmod(F.xxhash64("id"), F.lit(k)).cast("int"))
 
 
+def _round(pts: DataFrame, centres: np.ndarray, before: np.ndarray | None) -> tuple[dict[int, tuple[int, np.ndarray]], int]:
+    """(cluster -> points and their mean, points in another cluster than with the centres before) in one job."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, total, changed = np.zeros(len(centres), np.int64), np.zeros(centres.shape), 0
+        for p in parts:
+            if len(p):
+                x = np.stack(p["vec"].to_numpy())
+                c = _nearest(x, centres)[0]
+                changed += len(x) if before is None else int((c != _nearest(x, before)[0]).sum())
+                n += np.bincount(c, minlength=len(centres))
+                np.add.at(total, c, x)
+        own = np.flatnonzero(n)
+        yield pd.DataFrame({"cluster": [-1, *own], "n": [changed, *n[own]], "total": [[], *total[own].tolist()]})
+
+    sums, changed = {}, 0
+    for r in pts.select("vec").mapInPandas(run, "cluster int, n long, total array<double>").collect():  # k + 1 rows a task
+        if r["cluster"] < 0:
+            changed += r["n"]
+        else:
+            n, total = sums.get(r["cluster"], (0, 0.0))
+            sums[r["cluster"]] = (n + r["n"], total + np.array(r["total"]))
+    return {c: (n, total / n) for c, (n, total) in sums.items()}, changed
+
+
 def kmeans(df: DataFrame, id_col: str, vec: str, k: int, max_iter: int = 1000, tol: int = 0) -> tuple[DataFrame, np.ndarray]:
-    """(id, cluster, dist; centres) by Lloyd rounds until at most ``tol`` points change. An empty cluster keeps its centre."""
+    """(id, cluster, dist; centres) by Lloyd rounds until at most ``tol`` points change. An empty cluster keeps its centre.
+
+    A round is one job without a shuffle: tasks send counts and sums by cluster.
+    """
     pts = cut(points(df, id_col, vec))
-    centres = initial_centres(pts, k)
+    centres, before, used = initial_centres(pts, k), None, None
     if not len(centres):
         return pts.select("id", F.lit(0).alias("cluster"), F.lit(0.0).alias("dist")), centres
-    before = None
     for _ in range(max_iter):
-        now = cut(assign(pts, centres))
-        for r in statistics(now).collect():  # k rows
-            centres[r["cluster"]] = r["mean"]
-        if before is not None:
-            changed = now.join(before.select("id", F.col("cluster").alias("_old")), "id").where("cluster != _old").count()
-            if changed <= tol:
-                break
-        before = now
-    return now.select("id", "cluster", "dist"), centres
+        used = centres.copy()
+        means, changed = _round(pts, used, before)
+        for c, (_, mean) in means.items():
+            centres[c] = mean
+        if before is not None and changed <= tol:
+            break
+        before = used
+    return cut(assign(pts, used if used is not None else centres)).select("id", "cluster", "dist"), centres
 
 
 def merge_statistics(parts: list[tuple[int, np.ndarray, np.ndarray]]) -> tuple[int, np.ndarray, np.ndarray]:
@@ -97,7 +181,7 @@ def merge_statistics(parts: list[tuple[int, np.ndarray, np.ndarray]]) -> tuple[i
     return n, sum(p[0] * p[1] for p in parts) / n, sum(p[0] * p[2] for p in parts) / n
 
 
-def bfr(df: DataFrame, id_col: str, vec: str, chunk: str, k: int, radius: float = 2.0, max_iter: int = 50) -> tuple[DataFrame, DataFrame]:
+def bfr(df: DataFrame, id_col: str, vec: str, chunk: str, k: int, radius: float = 2.0, max_iter: int = 1000) -> tuple[DataFrame, DataFrame]:
     """(id, cluster; round log) by BFR, chunk by chunk in the order of ``chunk``.
 
     The first chunk is clustered 5k-fold; its clusters of fewer than 4 points are retained, the rest is clustered k-fold
@@ -157,11 +241,14 @@ def bfr(df: DataFrame, id_col: str, vec: str, chunk: str, k: int, radius: float
         if n_retained:
             groups, _ = kmeans(retained, "id", "vec", min(5 * k, n_retained), max_iter)
             groups = cut(retained.join(groups.select("id", "cluster"), "id"))
+            goes_to = {}
             for old, s in sorted(stats(groups).items()):
                 if s[0] > 1:
-                    cs[next_cs] = s
-                    members.append(groups.where(F.col("cluster") == old).select("id", F.lit("cs").alias("kind"), F.lit(next_cs).alias("cluster")))
+                    cs[next_cs], goes_to[old] = s, next_cs
                     next_cs += 1
+            if goes_to:
+                to = F.create_map(*(F.lit(x) for kv in goes_to.items() for x in kv))[F.col("cluster")]
+                members.append(groups.select("id", F.lit("cs").alias("kind"), to.alias("cluster")).where("cluster is not null"))
             several = groups.groupBy("cluster").agg(F.count("*").alias("n")).where("n > 1").select("cluster")
             retained = cut(groups.join(several, "cluster", "left_anti").select("id", "vec"))
         merged = True

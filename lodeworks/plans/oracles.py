@@ -127,6 +127,8 @@ share AS (SELECT unnest(es) AS e, 1.0 / c AS x FROM short)
 SELECT split_part(e, '|', 1) AS src, split_part(e, '|', 2) AS dst, round(sum(x) / 2, 6) AS betweenness FROM share GROUP BY e""",
     "kmeans_assign": f"WITH {STATS}, {_assign('1.0')} SELECT id, k AS cluster, round(dist, 6) AS dist FROM best",
     "kmeans_update": f"WITH {STATS} SELECT cluster, n, CAST(dim AS INTEGER) AS dim, round(mean, 9) AS mean, round(meansq, 9) AS meansq FROM st",
+    "bfr_stats": f"WITH {STATS} SELECT CAST(cluster AS INTEGER) AS cluster, CAST(dim AS INTEGER) AS dim, n, round(mean, 9) AS mean, round(greatest(meansq - mean * mean, 1e-9), 9) AS variance FROM st",
+    "distinct_truth": "SELECT count(DISTINCT user_id) AS truth FROM events",
     "mahalanobis_assign": f"WITH {STATS}, {_assign('greatest(st.meansq - st.mean * st.mean, 1e-9)')} SELECT id, k AS cluster, round(dist, 6) AS dist, dist <= 2 * sqrt(64) AS inside FROM best",
     "bloom_bits": f"WITH {BITS} SELECT * FROM bits",
     "bloom_probe": f"WITH {BITS}, probes AS (SELECT DISTINCT o_custkey AS key FROM orders), spots AS ({_BLOOM.replace('FROM keys', 'FROM probes')}) SELECT key, count(b.pos) = 10 AS hit FROM spots s LEFT JOIN bits b USING (row, pos) GROUP BY key",

@@ -182,7 +182,7 @@ def kmeans_full(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _bfr(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return clustering.bfr(views.vectors(spark, d).withColumn("chunk", F.col("vec_id") % CHUNKS), "vec_id", "vec", "chunk", 10, max_iter=20)
+    return clustering.bfr(views.vectors(spark, d).withColumn("chunk", F.col("vec_id") % CHUNKS), "vec_id", "vec", "chunk", 10)
 
 
 def bfr_clusters(spark: SparkSession, d: str) -> DataFrame:
@@ -193,6 +193,19 @@ def bfr_rounds(spark: SparkSession, d: str) -> DataFrame:
     return _bfr(spark, d)[1]
 
 
+def bfr_stats(spark: SparkSession, d: str) -> DataFrame:
+    """The statistics that BFR keeps of a set, here of each label and chunk of vectors, merged over the chunks."""
+    v = views.vectors(spark, d)
+    parts = clustering.statistics(v.select((F.col("label") * CHUNKS + F.col("vec_id") % CHUNKS).alias("cluster"), "vec"))
+    flat = parts.select((F.col("cluster") / CHUNKS).cast("int").alias("cluster"), "n", F.posexplode(F.arrays_zip("mean", "meansq")).alias("dim", "s"))
+    merged = flat.groupBy("cluster", "dim").agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("s.mean")) / F.sum("n")).alias("mean"), (F.sum(F.col("n") * F.col("s.meansq")) / F.sum("n")).alias("meansq"))
+    return merged.select("cluster", "dim", "n", F.round("mean", 9).alias("mean"), F.round(F.greatest(F.col("meansq") - F.col("mean") * F.col("mean"), F.lit(1e-9)), 9).alias("variance"))
+
+
+def distinct_truth(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").agg(F.count_distinct("user_id").alias("truth"))
+
+
 def bloom_bits(spark: SparkSession, d: str) -> DataFrame:
     return sketches.bloom_build(table(spark, d, "customer").where("c_mktsegment = 'BUILDING'"), "c_custkey")
 
@@ -228,7 +241,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         lsh_set_classes, jaccard_exact,
         tfidf_profile, content_scores, item_cf_model, item_cf_predict, user_cf_model, user_cf_predict, top_k_neighbours,
         cooccurrence_edges, jaccard_graph, lpa_communities, connected_components, edge_betweenness, girvan_newman, girvan_newman_log,
-        kmeans_assign, kmeans_update, mahalanobis_assign, kmeans_full, bfr_clusters, bfr_rounds,
-        bloom_bits, bloom_probe, fm_estimate, fm_sliding_window, reservoir_bottom_k, tag_frequency, id_dictionary,
+        kmeans_assign, kmeans_update, mahalanobis_assign, kmeans_full, bfr_stats, bfr_clusters, bfr_rounds,
+        bloom_bits, bloom_probe, distinct_truth, fm_estimate, fm_sliding_window, reservoir_bottom_k, tag_frequency, id_dictionary,
     )
 }
