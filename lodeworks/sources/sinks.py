@@ -17,6 +17,24 @@ def itemset_report(itemsets: DataFrame) -> DataFrame:
     return sets.select("size", F.array_join(F.transform("sets", quoted), ",").alias("line"))
 
 
+def itemset_file(candidates: DataFrame, itemsets: DataFrame) -> DataFrame:
+    """n, line of a whole report, to be ordered by n: the candidates' lines, then the frequent sets', each size a paragraph."""
+    out = None
+    for k, (title, sets) in enumerate((("Candidates:", candidates), ("Frequent Itemsets:", itemsets))):
+        spark = sets.sparkSession
+        head = spark.range(1).select(F.lit(k * 2_000_000).cast("long").alias("n"), F.lit(title).alias("line"))
+        lines = itemset_report(sets).select((F.col("size") * 2 + k * 2_000_000).cast("long").alias("n"), "line")
+        gaps = lines.select((F.col("n") + 1).alias("n"), F.lit("").alias("line"))
+        part = head.union(lines).union(gaps)
+        out = part if out is None else out.union(part)
+    return out
+
+
+def write_log(log: DataFrame, path: str, order: str = "round") -> None:
+    """A round log, a row for each chunk, as CSV with a header."""
+    log.orderBy(order).coalesce(1).write.mode("overwrite").csv(path, header=True)
+
+
 def community_report(labels: DataFrame, id_col: str = "id", label: str = "label") -> DataFrame:
     """n, line: a community a line, members quoted and sorted; to be ordered by n and line."""
     groups = labels.groupBy(label).agg(F.array_sort(F.collect_list(F.col(id_col).cast("string"))).alias("m"))

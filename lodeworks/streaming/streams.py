@@ -52,3 +52,17 @@ def append_report(stream: DataFrame, path: str, checkpoint: str, order: list | N
         (df.orderBy(*order) if order else df).write.mode("append").parquet(path)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def tag_report(reservoir: DataFrame, path: str, checkpoint: str):
+    """Starts a query that appends a report to a text folder for each micro-batch of reservoir_stream(): how many tags came
+    so far, then the sample's tags by frequency, descending, and name. The reservoir has one shard."""
+
+    def write(df: DataFrame, _: int) -> None:
+        seen = df.select(F.lit(0).alias("k"), F.lit("").alias("tag"), F.concat(F.lit("Tags from the beginning: "), F.col("seen")).alias("value"))
+        freq = df.select(F.explode("tags").alias("tag")).groupBy("tag").agg(F.count("*").alias("n")).select((-F.col("n")).alias("k"), "tag", F.concat_ws(" : ", "tag", "n").alias("value"))
+        end = df.select(F.lit(1).alias("k"), F.lit("").alias("tag"), F.lit("").alias("value"))
+        rows = seen.select(F.lit(0).alias("part"), "*").union(freq.select(F.lit(1), "*")).union(end.select(F.lit(2), "*"))
+        rows.orderBy("part", "k", "tag").select("value").coalesce(1).write.mode("append").text(path)  # a sample's rows
+
+    return reservoir.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
