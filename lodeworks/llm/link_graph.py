@@ -8,7 +8,7 @@ Everything here is DataFrame functions.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import aid, counted, cut
@@ -67,9 +67,10 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float = 0.85, toleran
     t, d = (float(x or 0) or 1.0 for x in (totals["t"], totals["d"]))
     zero = F.lit(0.0)
     names = ["host", "to", "wt", "wd", "same", "t", "d"]  # same: 1 on the row by which a host keeps its own mass
-    share = lambda by: damping * F.col("weight") / F.sum("weight").over(Window.partitionBy(by))
-    ahead = edges.select("src", F.col("dst").alias("to"), share("src").alias("w")).select("src", "to", "w", zero, zero, zero, zero).toDF(*names)
-    back = edges.select("dst", F.col("src").alias("to"), share("dst").alias("w")).select("dst", "to", zero, "w", zero, zero, zero).toDF(*names)
+    share = damping * F.col("weight") / F.col("_all")
+    all_of = lambda by: edges.join(edges.groupBy(by).agg(F.sum("weight").alias("_all")), by)  # noqa: E731  sums are joined, so a host with many links is no single task's
+    ahead = all_of("src").select("src", F.col("dst").alias("to"), share.alias("w")).select("src", "to", "w", zero, zero, zero, zero).toDF(*names)
+    back = all_of("dst").select("dst", F.col("src").alias("to"), share.alias("w")).select("dst", "to", zero, "w", zero, zero, zero).toDF(*names)
     stay = edges.select("src", zero, zero).union(edges.select("dst", zero, zero)).union(seeds.select("host", (1 - damping) / t * F.col("trust"), (1 - damping) / d * F.col("distrust"))).toDF("host", "t", "d")
     stay = stay.groupBy("host").agg(F.sum("t").alias("t"), F.sum("d").alias("d")).select("host", F.col("host").alias("to"), zero.alias("wt"), zero.alias("wd"), F.lit(1.0).alias("same"), "t", "d")
     flows, n = counted(ahead.union(back).union(stay).groupBy("host", "to").agg(*(F.sum(c).alias(c) for c in names[2:])))
