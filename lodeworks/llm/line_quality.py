@@ -48,19 +48,19 @@ def base_figures(docs: DataFrame, window: int = 8) -> DataFrame:
 
 
 def host_lines(docs: DataFrame, host: str) -> DataFrame:
-    """doc_id, _row, _host, _key (host and normalised line, hashed), _words, for each line with a word; a null host is a host."""
+    """doc_id, _row, _key (host and normalised line, hashed), _words, for each line with a word; a null host is a host."""
     lines = F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n")
     df = docs.select("doc_id", F.monotonically_increasing_id().alias("_row"), F.coalesce(F.concat(F.lit("h:"), F.col(host).cast("string")), F.lit("")).alias("_host"), lines.alias("_lines"))
     df = df.select("doc_id", "_row", "_host", F.explode_outer("_lines").alias("_line"))  # rows are numbered before they are exploded
     line = F.trim(F.regexp_replace(F.regexp_replace(F.lower("_line"), BLANK, " "), "[0-9]+", "0"))
     df = df.where(F.col("_line").rlike(r"[^\x20\x09-\x0D]")).select("doc_id", "_row", "_host", line.alias("_line"))
-    return df.select("doc_id", "_row", "_host", F.xxhash64("_host", "_line").alias("_key"), F.size(F.split("_line", " ")).cast("long").alias("_words"))
+    return df.select("doc_id", "_row", F.xxhash64("_host", "_line").alias("_key"), F.size(F.split("_line", " ")).cast("long").alias("_words"))
 
 
-def judged(docs: DataFrame, host: str = "source", least_docs: int = 50, share: float = 0.01, keep_share: float = 0.5, min_words: int = 20) -> DataFrame:
+def judged(docs: DataFrame, host: str = "source", max_docs: int = 10, keep_share: float = 0.5, min_words: int = 20) -> DataFrame:
     """A row for each document (doc_id): its base figures, base_failed, removed_words, kept.
 
-    A line is boilerplate on a host if more than max(least_docs, share of the host's documents) documents hold it. A
+    A line is boilerplate on a host if more than max_docs of its documents hold it, however many the host has. A
     document is kept if it doesn't fail the base rules (n_words under min_words, or more than 30 % of the words in
     repeated 8-word windows), and of its words at least min_words and keep_share are left without boilerplate lines.
     Rows that share a doc_id, null included, are one document: its figures are the largest of the rows'. Null and empty
@@ -69,11 +69,8 @@ def judged(docs: DataFrame, host: str = "source", least_docs: int = 50, share: f
     The boilerplate lines' hashes are broadcast while they are few enough, else joined by shuffles.
     """
     lines = host_lines(docs, host)
-    per_doc = lines.select("_host", "_key", "doc_id").distinct()
-    per_line = per_doc.groupBy("_key").agg(F.count("*").alias("_docs"), F.first("_host").alias("_host")).where(F.col("_docs") > least_docs)
-    hosts = docs.select(F.coalesce(F.concat(F.lit("h:"), F.col(host).cast("string")), F.lit("")).alias("_host"), "doc_id").distinct().groupBy("_host").agg(F.count("*").alias("_all"))
-    frequent = per_line.join(hosts, "_host").where(F.col("_docs") > F.col("_all") * share).select("_key")
-    frequent, n_frequent = counted(frequent)
+    per_doc = lines.select("_key", "doc_id").distinct()
+    frequent, n_frequent = counted(per_doc.groupBy("_key").agg(F.count("*").alias("_docs")).where(F.col("_docs") > max_docs).select("_key"))
     removed = lines.join(aid(frequent, n_frequent), "_key").groupBy("doc_id", "_row").agg(F.sum("_words").alias("removed_words"))
     figures = base_figures(docs)
     zero = F.lit(0).cast("long")

@@ -86,8 +86,7 @@ rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM twice GROUP BY doc_id),
 lines AS (SELECT doc_id, host, line, trim(regexp_replace(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g'), '[0-9]+', '0', 'g')) AS norm
   FROM (SELECT doc_id, host, unnest(string_split(text, chr(10))) AS line FROM docs) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 dups AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY doc_id),
-hosts AS (SELECT host, count(*) AS n FROM docs GROUP BY host),
-frequent AS (SELECT l.host, l.norm FROM lines l JOIN hosts h USING (host) GROUP BY l.host, l.norm, h.n HAVING count(DISTINCT doc_id) > 50 AND count(DISTINCT doc_id) > h.n * 0.01),
+frequent AS (SELECT host, norm FROM lines GROUP BY host, norm HAVING count(DISTINCT doc_id) > 10),
 gone AS (SELECT doc_id, CAST(sum(len(string_split(norm, ' '))) AS BIGINT) AS n FROM lines JOIN frequent USING (host, norm) GROUP BY doc_id),
 fig AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
   CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(dups.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, coalesce(gone.n, 0) AS removed_words

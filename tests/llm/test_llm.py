@@ -384,7 +384,7 @@ def test_line_quality(spark, small, monkeypatch):
     rows = [(i, letters(40) + "\nAll  rights 2020 reserved\n" + "é #|* " * (i % 3), f"h{i % 2}") for i in range(30)]
     rows += [(50, "All rights 1999 Reserved\n" * 12, "h0"), (51, None, "h0"), (52, "", None), (53, " ".join(word_list(rng, 10)) * 6, None), (54, (" ".join(word_list(rng, 4)) + " ") * 2000, "h1")]
     df = spark.createDataFrame([*rows, rows[0]], "doc_id long, text string, source string").withColumn("kept", F.lit("x"))
-    out = {r["doc_id"]: r for r in line_quality.judged(df, least_docs=5, share=0.1).collect()}
+    out = {r["doc_id"]: r for r in line_quality.judged(df, max_docs=5).collect()}
     assert len(out) == len(rows)
     for i, t, _ in rows:
         r = out[i]
@@ -396,12 +396,22 @@ def test_line_quality(spark, small, monkeypatch):
     # the boilerplate of a row counts once for its document, however often the row is repeated, and in full if it is there twice
     twice = [(60, "All rights 2020 reserved\n" + letters(40) + "\nAll rights 1 reserved", "h0"), (61, "All rights 2020 reserved\n" + letters(40), "h0")]
     again = spark.createDataFrame([*rows, *twice, *[twice[1]] * 9, *[rows[3]] * 9], "doc_id long, text string, source string")
-    again = {r["doc_id"]: r for r in line_quality.judged(again, least_docs=5, share=0.1).collect()}
+    again = {r["doc_id"]: r for r in line_quality.judged(again, max_docs=5).collect()}
     assert (again[60]["removed_words"], again[61]["removed_words"]) == (8, 4) and again[61]["kept"]
     assert again[3] == out[3]
     assert line_quality.judged(df.limit(0)).count() == 0
 
 
+def test_line_limit_is_alike_on_small_and_hot_hosts(spark):
+    rng = random.Random(4)
+    text = lambda line: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(30)) + "\n" + line
+    rows = [(i, text("terms of the small host"), "small") for i in range(11)]  # all of its documents
+    rows += [(100 + i, text("seen ten times" if i < 10 else "seen eleven times" if i < 21 else f"only {'x' * i}"), "hot") for i in range(1200)]
+    rows += [(2000 + i, text("terms of the small host"), "other") for i in range(10)]  # a host of its own
+    out = {r["doc_id"]: r["removed_words"] for r in line_quality.judged(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert {i: n for i, n in out.items() if n} == {i: 5 for i in range(11)} | {110 + i: 3 for i in range(11)}
+
+
 # licences
 
 
