@@ -25,9 +25,17 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def jaccard_pairs(df: DataFrame, entity: str, member: str, threshold: float) -> DataFrame:
-    """a, b, n_common, sim of all pairs (a < b) with sim >= threshold > 0."""
+    """a, b, n_common, sim of all pairs (a < b) with sim >= threshold > 0.
+
+    Sets travel with their sizes: pairs whose sizes differ too much are never counted, and none are joined again.
+    """
     sets = memberships(df, entity, member)
-    return _similar(common_counts(sets), sets).where(F.col("sim") >= threshold)
+    sized = sets.join(sets.groupBy("entity").agg(F.count("*").alias("n")), "entity").select("entity", "member", "n")
+    x, y = sized.toDF("a", "member", "na"), sized.toDF("b", "member", "nb")
+    near = F.least("na", "nb") >= F.greatest("na", "nb") * (threshold * (1 - 1e-9))
+    common = x.join(y, "member").where((F.col("a") < F.col("b")) & near).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("n_common"))
+    sim = F.col("n_common") / (F.col("na") + F.col("nb") - F.col("n_common"))
+    return common.select("a", "b", "n_common", sim.alias("sim")).where(F.col("sim") >= threshold)
 
 
 def minhash_signature(df: DataFrame, entity: str, member: str, hashes: list[tuple[int, int]] = MINHASH, buckets: int = 2**31 - 1) -> DataFrame:

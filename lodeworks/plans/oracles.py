@@ -15,7 +15,6 @@ EVENTS = "ev AS (SELECT user_id, event_type, ts, CAST(json_extract_string(props,
 RATINGS = f"{EVENTS}, r AS (SELECT user_id, item_id, avg(value) AS stars FROM ev WHERE event_type <> 'purchase' AND item_id IS NOT NULL GROUP BY ALL)"
 TEST = "test AS (SELECT DISTINCT user_id, item_id FROM ev WHERE event_type = 'purchase')"
 WORDS = "words AS (SELECT DISTINCT doc_id AS e, unnest(regexp_extract_all(lower(text), '[^ \\t\\n\\r\\x0B\\f]+')) AS m FROM documents)"
-SUPP = "sb AS (SELECT DISTINCT l_suppkey AS e, p_brand AS m FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag = 'R' AND l_quantity >= 48)"
 
 
 def _levels(basket: str, support: str, part: str = "") -> str:
@@ -41,7 +40,7 @@ _KEY = "(CAST('0x' || substr(md5(m), 1, 8) AS BIGINT) % 2147483648)"
 _SIG = ", ".join(f"min((({a} * x + {b}) % {PRIME_MINHASH}) % 2147483647) AS m{i}" for i, (a, b) in enumerate(MINHASH))
 CLASSES = f"{WORDS}, sets AS (SELECT e, string_agg(m, ' ' ORDER BY m) AS s FROM words GROUP BY e), classes AS (SELECT e, min(e) OVER (PARTITION BY s) AS rep FROM sets)"
 SIGNED = f"x AS (SELECT e, {_KEY} AS x FROM own), sig AS (SELECT e, {_SIG} FROM x GROUP BY e), signature AS (SELECT e, [{', '.join(f'm{i}' for i in range(len(MINHASH)))}] AS s FROM sig)"
-BANDS = "keyed AS (SELECT e, g, s[g * 4 + 1 : g * 4 + 4] AS k FROM (SELECT e, s, unnest(range(25)) AS g FROM signature)), cand AS (SELECT DISTINCT a.e AS a, b.e AS b FROM keyed a JOIN keyed b ON a.g = b.g AND a.k = b.k AND a.e < b.e)"
+BANDS = "keyed AS (SELECT e, g, s[g * 2 + 1 : g * 2 + 2] AS k FROM (SELECT e, s, unnest(range(50)) AS g FROM signature)), cand AS (SELECT DISTINCT a.e AS a, b.e AS b FROM keyed a JOIN keyed b ON a.g = b.g AND a.k = b.k AND a.e < b.e)"
 OWN = "own AS (SELECT w.e, w.m FROM words w JOIN classes c ON c.e = w.e AND c.rep = w.e)"
 
 
@@ -71,7 +70,7 @@ DEV = "sum((stars - avg_nb) * sim) / (sum(abs(sim)) + 1e-10)"
 NEAR = f"""{TEST}, {BOTH}, mean AS (SELECT user_id, round(avg(stars), 9) AS avg_nb FROM r GROUP BY user_id),
 near AS (SELECT t.user_id, t.item_id, w.nb, w.sim, r.stars, m.avg_nb, CAST(row_number() OVER (PARTITION BY t.user_id, t.item_id ORDER BY w.sim DESC, m.avg_nb DESC, w.nb DESC) AS INTEGER) AS rank
   FROM test t JOIN ways w ON w.e = t.user_id JOIN r ON r.user_id = w.nb AND r.item_id = t.item_id JOIN mean m ON m.user_id = w.nb QUALIFY rank <= 5)"""
-SUPPLIERS = f"{SUPP}, {_jaccard('sb', 0.5)}, edges AS (SELECT a AS src, b AS dst, round(sim, 9) AS weight FROM j UNION ALL SELECT b, a, round(sim, 9) FROM j)"
+BUYERS = f"{EVENTS}, bought AS (SELECT DISTINCT user_id AS e, item_id AS m FROM ev WHERE event_type = 'purchase'), {_jaccard('bought', 0.2)}, edges AS (SELECT a AS src, b AS dst, round(sim, 9) AS weight FROM j UNION ALL SELECT b, a, round(sim, 9) FROM j)"
 _LPA = ", ".join(
     f"v{k} AS (SELECT e.dst, l.label, count(*) AS n FROM edges e JOIN l{k} l ON l.id = e.src GROUP BY ALL), h{k} AS (SELECT dst, label FROM v{k} QUALIFY row_number() OVER (PARTITION BY dst ORDER BY n DESC, label) = 1), l{k + 1} AS (SELECT l.id, coalesce(h.label, l.label) AS label FROM l{k} l LEFT JOIN h{k} h ON h.dst = l.id)"
     for k in range(5)
@@ -117,9 +116,9 @@ known AS (SELECT t.user_id, t.item_id, m.avg FROM test t JOIN own_mean m USING (
 SELECT k.user_id, k.item_id, round(k.avg + coalesce(d.dev, 0), 6) AS stars FROM known k LEFT JOIN dev d USING (user_id, item_id)""",
     "top_k_neighbours": f"WITH {USER_MODEL}, {NEAR} SELECT user_id, item_id, nb, sim, rank FROM near",
     "cooccurrence_edges": f"WITH {BASKETS} SELECT x.i AS src, y.i AS dst, count(*) AS weight FROM baskets x JOIN baskets y ON x.b = y.b AND x.i <> y.i GROUP BY ALL HAVING count(*) >= 7",
-    "jaccard_graph": f"WITH {SUPPLIERS} SELECT * FROM edges",
-    "lpa_communities": f"WITH {SUPPLIERS}, l0 AS (SELECT DISTINCT src AS id, src AS label FROM edges), {_LPA} SELECT id, label FROM l5",
-    "connected_components": f"WITH RECURSIVE {SUPPLIERS}, reach(id, root) AS (SELECT DISTINCT src, src FROM edges UNION SELECT e.dst, r.root FROM reach r JOIN edges e ON e.src = r.id) SELECT id, min(root) AS label FROM reach GROUP BY id",
+    "jaccard_graph": f"WITH {BUYERS} SELECT * FROM edges",
+    "lpa_communities": f"WITH {BUYERS}, l0 AS (SELECT DISTINCT src AS id, src AS label FROM edges), {_LPA} SELECT id, label FROM l5",
+    "connected_components": f"WITH RECURSIVE {BUYERS}, reach(id, root) AS (SELECT DISTINCT src, src FROM edges UNION SELECT e.dst, r.root FROM reach r JOIN edges e ON e.src = r.id) SELECT id, min(root) AS label FROM reach GROUP BY id",
     "edge_betweenness": f"""WITH RECURSIVE {BRANDS}, path(s, t, n, es) AS (SELECT src, dst, 1, [least(src, dst) || '|' || greatest(src, dst)] FROM g
 UNION ALL SELECT p.s, g.dst, p.n + 1, list_append(p.es, least(g.src, g.dst) || '|' || greatest(g.src, g.dst)) FROM path p JOIN g ON g.src = p.t WHERE p.n < 4 AND g.dst <> p.s),
 short AS (SELECT s, t, es, count(*) OVER (PARTITION BY s, t) AS c FROM (SELECT *, min(n) OVER (PARTITION BY s, t) AS least_n FROM path) WHERE n = least_n),

@@ -13,7 +13,7 @@ from ..session import cut
 from ..sources.readers import table
 from . import views
 
-LSH_ROWS = 4
+LSH_ROWS = 2
 REFERENCE_ROWS, REFERENCE_SIM = 1, 0.055
 CHUNKS = 5
 
@@ -118,20 +118,21 @@ def cooccurrence_edges(spark: SparkSession, d: str) -> DataFrame:
     return graph.cooccurrence_edges(views.baskets(spark, d), "order_id", "brand", 7)
 
 
-def _supplier_graph(spark: SparkSession, d: str) -> DataFrame:
-    return graph.jaccard_graph(views.supp_brand(spark, d), "supp", "brand", 0.5)
+def _buyer_graph(spark: SparkSession, d: str) -> DataFrame:
+    """Users whose purchased items are alike."""
+    return graph.jaccard_graph(views.test_pairs(spark, d), "user_id", "item_id", 0.2)
 
 
 def jaccard_graph(spark: SparkSession, d: str) -> DataFrame:
-    return _supplier_graph(spark, d).withColumn("weight", F.round("weight", 9))
+    return _buyer_graph(spark, d).withColumn("weight", F.round("weight", 9))
 
 
 def lpa_communities(spark: SparkSession, d: str) -> DataFrame:
-    return graph.label_propagation(_supplier_graph(spark, d))
+    return graph.label_propagation(_buyer_graph(spark, d))
 
 
 def connected_components(spark: SparkSession, d: str) -> DataFrame:
-    return graph.connected_components(_supplier_graph(spark, d))
+    return graph.connected_components(_buyer_graph(spark, d))
 
 
 def _brand_graph(spark: SparkSession, d: str) -> DataFrame:

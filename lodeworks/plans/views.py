@@ -40,11 +40,5 @@ def reviews(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select((F.col("doc_id") % 37).alias("user_id"), F.col("source").alias("business_id"), "text")
 
 
-def supp_brand(spark: SparkSession, d: str) -> DataFrame:
-    part = table(spark, d, "part").select("p_partkey", "p_brand")
-    lines = table(spark, d, "lineitem").where("l_returnflag = 'R' and l_quantity >= 48").select("l_suppkey", "l_partkey")
-    return lines.join(part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_suppkey").alias("supp"), F.col("p_brand").alias("brand")).distinct()
-
-
 def vectors(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vec"), "label")
