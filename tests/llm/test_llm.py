@@ -736,3 +736,24 @@ def test_toxicity(spark):
     by = {r["doc_id"]: r["score"] for r in out}
     assert by[900] == by[901] < 0.7 < by[902]
     assert toxic_cnn.score(docs.limit(0), toxic_cnn.train(docs, labels.limit(0), F.lit(True))).count() == 0
+
+
+def test_toxic_training_texts_are_bounded_in_bytes(spark):
+    import pandas as pd
+
+    sizes = pd.DataFrame({"_h": [5, -3, 9, 7, 7], "_n": [10, 20, 5, 4, 4]})
+    assert [toxic_cnn.last_within(sizes, n) for n in (19, 20, 30, 37, 38, 43)] == [-4, 4, 6, 6, 8, (1 << 63) - 1]
+    assert toxic_cnn.last_within(sizes[:0], 0) == (1 << 63) - 1
+    docs = spark.createDataFrame([(i, ("bad " if i % 2 else "good ") * 20) for i in range(40)] + [(40, "good " * 5000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(41)], "doc_id long, toxic int")
+    seen = []
+    kept, toxic_cnn.train_cnn = toxic_cnn.train_cnn, lambda texts, y, **k: seen.extend(texts) or kept(texts, y, **k)
+    try:
+        toxic_cnn.train(docs, labels, F.lit(True), max_bytes=64 * 100)
+        assert 0 < len(seen) <= 40 and max(map(len, seen)) <= 100
+        few = len(seen)
+        seen.clear()
+        toxic_cnn.train(docs, labels, F.lit(True), max_bytes=1 << 20)
+        assert few <= len(seen) and sum(map(len, seen)) <= 1 << 20
+    finally:
+        toxic_cnn.train_cnn = kept
