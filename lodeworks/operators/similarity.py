@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from ..functions.hashing import MINHASH, PRIME_MINHASH, permuted, string_key
 
 
+#: Words of 64 bits of the map that bounds how many members two sets share; larger sets are bounded less tightly.
+MAP_WORDS = 16
+
+
 def memberships(df: DataFrame, entity: str, member: str) -> DataFrame:
     return df.select(F.col(entity).alias("entity"), F.col(member).alias("member")).where("entity is not null and member is not null").distinct()
 
@@ -61,10 +65,27 @@ def set_classes(sets: DataFrame) -> DataFrame:
     return own.join(reps, ["h1", "h2", "n"]).select("entity", "rep")
 
 
+def _outlines(sets: DataFrame) -> DataFrame:
+    """entity, n (members), slack (members less set bits), b0 ...: a bit map in which each member sets one bit."""
+    at = sets.select("entity", F.pmod(F.xxhash64("member"), F.lit(64 * MAP_WORDS)).alias("_at")).selectExpr("entity", "shiftright(_at, 6) AS _w", "shiftleft(1L, CAST(_at & 63 AS INT)) AS _bit")
+    maps = [F.bit_or(F.when(F.col("_w") == k, F.col("_bit")).otherwise(F.lit(0).cast("long"))).alias(f"b{k}") for k in range(MAP_WORDS)]
+    own = at.groupBy("entity").agg(F.count("*").alias("n"), *maps)
+    return own.withColumn("slack", F.col("n") - sum(F.bit_count(f"b{k}") for k in range(MAP_WORDS)))
+
+
+def _within_reach(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The pairs whose bit maps allow sim >= threshold. No such pair is lost: common members share their bits, and no more
+    of them fall on one bit than members of either set do."""
+    own = _outlines(sets)
+    x, y = (own.toDF(e, *(f"_{e}{c}" for c in own.columns[1:])) for e in "ab")
+    most = sum(F.bit_count(F.col(f"_ab{k}").bitwiseAND(F.col(f"_bb{k}"))) for k in range(MAP_WORDS)) + F.least("_aslack", "_bslack")
+    return pairs.join(x, "a").join(y, "b").where(most * (1 + threshold) >= (F.col("_an") + F.col("_bn")) * (threshold * (1 - 1e-9))).select("a", "b")
+
+
 def lsh_similar_pairs(df: DataFrame, entity: str, member: str, threshold: float, rows: int = 1, hashes: list[tuple[int, int]] = MINHASH) -> DataFrame:
     """a, b, n_common, sim of the candidates with sim >= threshold, computed on the full sets."""
     sets = memberships(df, entity, member)
-    pairs = lsh_candidates(minhash_signature(sets, "entity", "member", hashes), rows)
+    pairs = _within_reach(lsh_candidates(minhash_signature(sets, "entity", "member", hashes), rows), sets, threshold)
     x, y = sets.toDF("a", "member"), sets.toDF("b", "member")
     common = pairs.join(x, "a").join(y, ["b", "member"]).groupBy("a", "b").agg(F.count("*").alias("n_common"))
     return _similar(common, sets).where(F.col("sim") >= threshold)

@@ -228,3 +228,17 @@ def test_readers(spark, tmp_path):
     assert readers.tagged(tweets, "t", "l", ["big data"], ["en"]).count() == 1
     sinks.save_model(str(tmp_path / "model"), pairs=readers.sample_states(spark))
     assert sinks.load_model(spark, str(tmp_path / "model"), "pairs")[0].count() == 9
+
+
+def test_bit_maps_lose_no_similar_pair(spark):
+    rng = random.Random(8)
+    sets = {i: {f"m{rng.randrange(3000)}" for _ in range(rng.choice([1, 5, 300, 2000]))} for i in range(24)}
+    sets |= {100 + i: {x for x in s if rng.random() < 0.8} | {f"m{i}"} for i, s in sets.items()}
+    df = spark.createDataFrame([(e, m) for e, s in sets.items() for m in s], "entity long, member string")
+    for t in (0.055, 0.5, 0.9):
+        want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= t}
+        all_pairs = spark.createDataFrame([(a, b) for a in sets for b in sets if a < b], "a long, b long")
+        left = {tuple(r) for r in similarity._within_reach(all_pairs, df, t).collect()}
+        assert want <= left
+        assert {(r["a"], r["b"]) for r in similarity.jaccard_pairs(df, "entity", "member", t).collect()} == want
+    assert len(left) < 300  # of 1128
