@@ -96,6 +96,19 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0][:n], _POWERS[1][:n]
 
 
+def slices(lines: list[str], most: int = 500_000) -> Iterator[list[str]]:
+    """The lines in order, in lists of at most that many characters; a longer line is a list of its own."""
+    own, n = [], 0
+    for x in lines:
+        if own and n + len(x) > most:
+            yield own
+            own, n = [], 0
+        own.append(x)
+        n += len(x)
+    if own:
+        yield own
+
+
 def entries(lines: list[str], ids: np.ndarray, limit: int) -> np.ndarray:
     """The index and probe entries of distinct lines."""
     codes = [np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32) for x in lines]
@@ -134,7 +147,7 @@ def _bits(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x)
 
 
-def match(found: np.ndarray, limit: int, few: int = 4, block: int = 4_000_000) -> tuple[np.ndarray, np.ndarray]:
+def match(found: np.ndarray, limit: int, few: int = 4, block: int = 500_000) -> tuple[np.ndarray, np.ndarray]:
     """(pairs of lines, entries of open keys) among the entries of a share."""
     found = found[np.argsort(found["key"], kind="stable")]
     key = found["key"]
@@ -209,7 +222,7 @@ def _candidates(docs: DataFrame, least: int, limit: int) -> DataFrame:
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lines = list({x: None for text in b.column(1) for _, x in lines_of(text.as_py(), least)})
-            found = entries(lines, np.array([line_id(x) for x in lines], np.int64), limit)
+            found = np.concatenate([np.zeros(0, ENTRY), *(entries(x, np.array([line_id(y) for y in x], np.int64), limit) for x in slices(lines))])
             share = ((found["key"] >> np.uint64(8)) % np.uint64(shares)).astype(np.uint16 if shares < 1 << 16 else np.int64)
             order = np.argsort(share, kind="stable")
             found, share = found[order], share[order]

@@ -757,3 +757,16 @@ def test_toxic_training_texts_are_bounded_in_bytes(spark):
         assert few <= len(seen) and sum(map(len, seen)) <= 1 << 20
     finally:
         toxic_cnn.train_cnn = kept
+
+
+def test_lines_in_slices_have_the_same_entries():
+    rng = random.Random(12)
+    lines = list({"".join(rng.choice("abc de") for _ in range(rng.randrange(20, 90))) for _ in range(60)})
+    ids = lambda x: np.array([line_edit.line_id(y) for y in x], np.int64)
+    whole = line_edit.entries(lines, ids(lines), 2)
+    for most in (1, 50, 200, 10**6):
+        parts = list(line_edit.slices(lines, most))
+        assert [y for x in parts for y in x] == lines and all(len(x) == 1 or sum(map(len, x)) <= most for x in parts)
+        cut = np.concatenate([line_edit.entries(x, ids(x), 2) for x in parts])
+        assert np.array_equal(np.sort(cut), np.sort(whole))
+    assert list(line_edit.slices([])) == []
