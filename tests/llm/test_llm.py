@@ -759,6 +759,71 @@ def test_toxic_training_texts_are_bounded_in_bytes(spark):
         toxic_cnn.train_cnn = kept
 
 
+def test_toxicity_learns_from_every_row(spark, monkeypatch):
+    """With few texts on the driver: counts, words and thresholds of all others too, whatever the order, partitions or repeats."""
+    monkeypatch.setattr(toxic_cnn, "SHARD_ROWS", 100, raising=False)
+    rng = random.Random(9)
+    rows = []
+    for i in range(600):
+        ws = word_list(rng, rng.randrange(5, 40), 300)
+        if i % 3 == 0:
+            ws[rng.randrange(len(ws))] = f"{i // 3 % 25:02d}vile"
+        rows.append((i, " ".join(ws), ["en", "de", "it"][i // 3 % 3], int(i % 3 == 0)))
+    few = dict(max_each=2, max_bytes=64 * 200)
+    long = [(1000 + i, "w1 " * 100 + "lengthy", "en", 1) for i in range(20)]  # longer than any text that comes to the driver
+    found = []
+    for seed in (1, 2):
+        rng.shuffle(rows)
+        docs = spark.createDataFrame([r[:3] for r in rows + long + rows[: 50 * seed]], "doc_id long, text string, lang string").repartition(2 + seed)
+        labels = spark.createDataFrame([(r[0], r[3]) for r in rows + long], "doc_id long, toxic int").repartition(seed)
+        found.append(toxic_cnn.train(docs, labels, F.lit(True), **few))
+    a, b = found
+    assert all(np.array_equal(getattr(a, k), getattr(b, k)) for k in ("embed", "filters", "bias", "out", "intercept")) and a.thresholds == b.thresholds
+    scorer = toxic_cnn.Scorer(a)
+    assert min(scorer.score([f"w5 w7 w9 {k:02d}vile w11" for k in range(25)] + ["w2 lengthy w3"])) > 0.7 > max(scorer.score([r[1] for r in rows if not r[3]]))
+    assert {"", "en", "de", "it"} == a.thresholds.keys()
+    none = toxic_cnn.Scorer(toxic_cnn.train(docs, labels, F.lit(True), max_bytes=64)).score(["w5 w7 03vile", "w5 w7"])  # no text is short enough for the driver
+    assert none[0] > none[1]
+    seen, n = toxic_cnn.whole_counts(spark.createDataFrame([(r[1], r[3]) for r in rows] + [(None, 0)], "text string, _label int").repartition(3), 512)
+    want = np.zeros((2, 512))
+    for _, t, _, y in rows:
+        want[y, list({h for w in toxic_cnn.split(t) for h in toxic_cnn.word_ids(w, 512)})] += 1
+    assert np.array_equal(seen, want) and n.tolist() == [401, 200]
+
+
+def test_toxic_round_by_hand(spark):
+    """Shards train from the same weights; a weight changes by the mean of the shards that changed it."""
+    rows = [(i % 3, f"a{i} b{i % 4} " + "vile " * (i % 2), i % 2) for i in range(30)]
+    start = lambda: toxic_cnn.train_cnn([r[1] for r in rows], np.array([r[2] for r in rows], np.float32), buckets=256, epochs=1)
+    model, changes = start(), []
+    toxic_cnn.learn_round(spark.createDataFrame(sorted(rows), "_shard int, text string, _label int").coalesce(1), model, 1.5, 0.05)
+    base = toxic_cnn.flat(start())
+    for k in range(3):
+        learner = toxic_cnn.Learner(start(), 1.5, 0.05)
+        for _, t, y in sorted(r for r in rows if r[0] == k):
+            learner.step(toxic_cnn.TextIds(256).of(t), y)
+        changes.append(toxic_cnn.flat(learner.model) - base)
+    times = sum(c.any((1, 2)) for c in changes)
+    want = base + sum(changes) / np.maximum(times, 1)[:, None, None]
+    assert set(times) > {0, 3} and np.allclose(toxic_cnn.flat(model), want, atol=1e-4)
+
+
+def test_toxic_thresholds_from_counts():
+    """Entries that stand for several rows give the thresholds of the rows; equal scores stay on one side."""
+    rng = np.random.default_rng(8)
+    scores, labels, times = rng.integers(1, 9, 40).astype(float), (rng.random(40) < 0.5).astype(float), rng.integers(1, 5, 40)
+    langs = [["en", "de"][i % 2] for i in range(40)]
+    many = [np.repeat(x, times) for x in (scores, labels, np.array(langs))]
+    found = toxic_cnn.calibrate(scores, labels, langs, times=times)
+    assert found == toxic_cnn.calibrate(many[0], many[1], list(many[2]))
+
+    def f_half(t):
+        hit = many[1][many[0] >= t].sum()
+        return 1.25 * hit / (0.25 * many[1].sum() + (many[0] >= t).sum())
+
+    assert f_half(found[""]) == pytest.approx(max(map(f_half, scores)))
+
+
 def test_lines_in_slices_have_the_same_entries():
     rng = random.Random(12)
     lines = list({"".join(rng.choice("abc de") for _ in range(rng.randrange(20, 90))) for _ in range(60)})
