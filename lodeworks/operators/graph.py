@@ -5,15 +5,20 @@ from __future__ import annotations
 from collections import defaultdict, deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .similarity import common_counts, jaccard_pairs, memberships
+from . import tiles
+from .similarity import coded_sets, common_counts, jaccard_pairs, memberships
 
 #: Edge tables up to this many rows may be held by each task or by the driver; larger ones go through joins.
 LOCAL_EDGES = 200_000
+#: Beyond every place of a row in blocks.
+PLACES = (1 << 42) - 1
 
 
 def cooccurrence_edges(df: DataFrame, basket: str, member: str, threshold: int) -> DataFrame:
@@ -59,6 +64,97 @@ def connected_components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _user_blocks(df: DataFrame, user: str, item: str) -> tuple[DataFrame, DataFrame]:
+    """(Blocks of users' item sets; at, entity), places in the order of the users: the least place is the least user."""
+    sets = coded_sets(df, user, item)
+    blocks = tiles.pack_in_order(sets, df.select(user).distinct().count(), ["entity"])
+    return blocks, tiles.rows_of(blocks, sets.schema["entity"].dataType.simpleString())
+
+
+def _named(labels: DataFrame, names: DataFrame) -> DataFrame:
+    """id, label of at, number."""
+    return labels.join(names.toDF("at", "id"), "at").join(names.toDF("number", "label"), "number").select("id", "label")
+
+
+def similar_communities(df: DataFrame, user: str, item: str, threshold: float, max_iter: int = 5) -> DataFrame:
+    """label_propagation() on jaccard_graph(), whose edges are found again in each round instead of being written."""
+    blocks, names = _user_blocks(df, user, item)
+
+    def votes(pairs, first: bool) -> Iterator[pa.RecordBatch]:
+        held = None
+        for left, right, same, a, b in tiles.with_sets(pairs):
+            if left is not held:
+                if held is not None:
+                    yield from told(held, found, count)
+                held, found, count = left, np.zeros(0, np.int64), np.zeros(0, np.int64)
+            ia, ib, _, _ = tiles.alike(a, b, same, threshold)
+            if same:
+                ia, ib = np.concatenate([ia, ib]), np.concatenate([ib, ia])
+            at = right["_at" if first else "_more"].to_numpy()[ib]
+            if first:  # all labels differ, so the least is heard
+                least = np.full(a.n, PLACES)
+                np.minimum.at(least, ia, at)
+                ia = np.flatnonzero(least < PLACES)
+                at = least[ia]
+            own, n = np.unique((ia << 42) + at, return_counts=True)
+            found, to = np.unique(np.concatenate([found, own]), return_inverse=True)
+            count = np.bincount(to, np.concatenate([count, n]), len(found)).astype(np.int64)
+        if held is not None:
+            yield from told(held, found, count)
+
+    def told(left: pa.Table, found: np.ndarray, count: np.ndarray) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_pydict({"at": left["_at"].to_numpy()[found >> 42], "number": found & PLACES, "n": count})
+
+    labels = names.select("at", F.col("at").alias("number"))
+    for k in range(max_iter):
+        own = blocks if not k else tiles.with_numbers(blocks, names.select("at").join(labels, "at", "left").select("at", F.coalesce("number", F.lit(PLACES)).alias("number")))
+        heard = tiles.across(own, lambda pairs, first=not k: votes(pairs, first), "at long, number long, n long", ordered=True)
+        if not k:
+            labels = cut(heard.groupBy("at").agg(F.min("number").alias("number")))
+        else:
+            total = heard.groupBy("at", "number").agg(F.sum("n").alias("n"))
+            labels = cut(total.groupBy("at").agg(F.min(F.struct(-F.col("n"), "number")).alias("_b")).select("at", F.col("_b.number").alias("number")))
+    if not max_iter:
+        raise ValueError("max_iter must be at least 1")
+    return _named(labels, names)
+
+
+def similar_components(df: DataFrame, user: str, item: str, threshold: float) -> DataFrame:
+    """connected_components() of jaccard_graph(), whose edges are not written.
+
+    First links within blocks and to the first block are contracted, to two for each user at most; then all pairs of blocks
+    are searched for links between users that those leave apart.
+    """
+    blocks, names = _user_blocks(df, user, item)
+
+    def stars(pairs) -> Iterator[pa.RecordBatch]:
+        for left, right, same, a, b in tiles.with_sets(pairs):
+            ia, ib, _, _ = tiles.alike(a, b, same, threshold)
+            x, y = (t["_more" if "_more" in t.column_names else "_at"].to_numpy() for t in (left, right))
+            p, q = x[ia], y[ib]
+            apart = p != q
+            ends, to = np.unique(np.concatenate([p[apart], q[apart]]), return_inverse=True)
+            p, q = np.split(to, 2)
+            least = np.arange(len(ends))
+            while len(p):
+                new = least.copy()
+                np.minimum.at(new, p, least[q])
+                np.minimum.at(new, q, least[p])
+                new = new[new]
+                if (new == least).all():
+                    break
+                least = new
+            own = np.flatnonzero(least != np.arange(len(ends)))
+            yield pa.RecordBatch.from_pydict({"src": ends[own], "dst": ends[least[own]]})
+
+    root = blocks.agg(F.min("i")).first()[0]
+    links = cut(tiles.across(blocks, stars, "src long, dst long", only=(F.col("i") == F.col("j")) | (F.col("i") == F.lit(root))))
+    known = connected_components(links).toDF("at", "number")
+    numbers = names.select("at").join(known, "at", "left").select("at", F.coalesce("number", "at").alias("number"))
+    more = tiles.across(tiles.with_numbers(blocks, numbers), stars, "src long, dst long").distinct()
+    return _named(connected_components(links.union(more)).toDF("at", "number"), names)
+
+
 def _credits(neighbours: dict, root) -> dict:
     """Edge credits of the shortest paths from a root: breadth first, then back from the leaves."""
     depth, paths, order, queue = {root: 0}, {root: 1.0}, [], deque([root])
