@@ -242,3 +242,30 @@ def test_bit_maps_lose_no_similar_pair(spark):
         assert want <= left
         assert {(r["a"], r["b"]) for r in similarity.jaccard_pairs(df, "entity", "member", t).collect()} == want
     assert len(left) < 300  # of 1128
+
+
+def test_equal_baskets_are_searched_once(spark, monkeypatch):
+    """itemsets_by_brand: a level's rows are those of the kinds of baskets, however many baskets there are."""
+    pairs = [(100 * k + b, i) for k in range(40) for b, i in random_baskets(3, n=12)]
+    seen = []
+    levels = itemsets._levels
+    monkeypatch.setattr(itemsets, "_levels", lambda sets, *x: seen.append(sets.count()) or levels(sets, *x))
+    df = spark.createDataFrame(pairs + pairs[:7], "b long, i string")
+    found = {tuple(r["items"]): r["support"] for r in itemsets.frequent_itemsets(df, "b", "i", lambda n: n // 4).collect()}
+    assert found == brute_itemsets(pairs, 120) and seen[0] <= len(random_baskets(3, n=12))
+
+
+def test_equal_baskets_of_a_part_are_searched_once(spark, monkeypatch):
+    """itemsets_candidates: the same, part by part; a basket without items counts as a basket."""
+    pairs = [(100 * k + b, i) for k in range(40) for b, i in random_baskets(4, n=12)]
+    seen = []
+    levels = itemsets._levels
+    monkeypatch.setattr(itemsets, "_levels", lambda sets, *x: seen.append(sets.count()) or levels(sets, *x))
+    df = spark.createDataFrame([*pairs, (7000, None)], "b long, i string")
+    baskets = {b for b, _ in pairs} | {7000}
+    want = set()
+    for p in range(4):
+        own = {b for b in baskets if b % 4 == p}
+        want |= {c for c, k in brute_itemsets([x for x in pairs if x[0] in own], 1).items() if k * len(baskets) >= len(own) * 100}
+    assert {tuple(r["items"]) for r in itemsets.son_candidates(df, "b", "i", 100, 4).collect()} == want
+    assert seen[0] <= 4 * len(random_baskets(4, n=12))
