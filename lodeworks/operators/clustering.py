@@ -10,11 +10,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..session import cut
 
+#: Points of a block.
+POINTS = 4096
+
 
 def points(df: DataFrame, id_col: str, vec: str) -> DataFrame:
     """id, vec (array<double>) of the rows with both."""
@@ -28,6 +34,54 @@ def _nearest(x: np.ndarray, centres: np.ndarray, scale: np.ndarray | None = None
     return k, d[np.arange(len(x)), k]
 
 
+def _nearest_fast(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """_nearest()'s index, by a matrix product; points whose two nearest centres are too close to tell by it are taken again."""
+    if len(centres) < 2 or not len(x):
+        return np.zeros(len(x), np.int64)
+    # ranks by |c|^2 - 2 x.c, about the centres' middle: what all centres share of a distance is left out
+    middle = centres.mean(0)
+    x0, c0 = x - middle, centres - middle
+    d = (c0**2).sum(1) - 2 * (x0 @ c0.T)
+    k = d.argmin(1)
+    rows = np.arange(len(x))
+    least = d[rows, k]
+    d[rows, k] = np.inf
+    scale = (x0**2).sum(1) + (c0**2).sum(1).max()
+    unsure = ~(d.min(1) - least > 1e-9 * scale)
+    if unsure.any():
+        k[unsure] = _nearest(x[unsure], centres)[0]
+    return k
+
+
+def _blocks(pts: DataFrame) -> DataFrame:
+    """n, d, x (bytes), ids: points, some thousands a row, so that rounds read arrays as they are; written once.
+
+    Vectors of another length than their neighbours are in a row of their own.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column("vec")
+            size = np.diff(lists.offsets.to_numpy())
+            flat = lists.flatten().to_numpy(zero_copy_only=False)
+            edges = np.concatenate([[0], np.flatnonzero(np.diff(size)) + 1, [len(size)]]) if len(size) else np.zeros(1, np.int64)
+            start = np.concatenate([[0], np.cumsum(size)])
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                for at in range(lo, hi, POINTS):
+                    end = min(hi, at + POINTS)
+                    yield pa.RecordBatch.from_pydict({"n": pa.array([end - at], pa.int32()), "d": pa.array([size[at]], pa.int32()), "x": pa.array([flat[start[at] : start[end]].tobytes()], pa.binary()), "ids": pa.ListArray.from_arrays(pa.array([0, end - at], pa.int32()), b.column("id").slice(at, end - at))})
+
+    return cut(pts.select("id", "vec").mapInArrow(run, f"n int, d int, x binary, ids array<{pts.schema['id'].dataType.simpleString()}>"))
+
+
+def _arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, pa.Array | None]]:
+    """(vectors, ids if they were selected) of _blocks()."""
+    for b in batches:
+        for r in range(b.num_rows):
+            n, d, x = (b.column(k)[r] for k in range(3))
+            yield np.frombuffer(x.as_buffer(), np.float64).reshape(n.as_py(), d.as_py()), b.column(3)[r].values if b.num_columns > 3 else None
+
+
 def assign(pts: DataFrame, centres: np.ndarray, variances: np.ndarray | None = None) -> DataFrame:
     """id, vec, cluster (index of the nearest centre), dist (Euclidean, or Mahalanobis with diagonal variances)."""
 
@@ -40,6 +94,17 @@ def assign(pts: DataFrame, centres: np.ndarray, variances: np.ndarray | None = N
     return pts.mapInPandas(run, f"id {pts.schema['id'].dataType.simpleString()}, vec array<double>, cluster int, dist double")
 
 
+def _assigned(blocks: DataFrame, centres: np.ndarray) -> DataFrame:
+    """id, cluster, dist of the points of _blocks()."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x, ids in _arrays(batches):
+            k, d = _nearest(x, centres)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(k.astype(np.int32)), pa.array(np.sqrt(d))], names=["id", "cluster", "dist"])
+
+    return blocks.mapInArrow(run, f"id {blocks.schema['ids'].dataType.elementType.simpleString()}, cluster int, dist double")
+
+
 def statistics(assigned: DataFrame) -> DataFrame:
     """cluster, n, mean, meansq (arrays): what merges of a cluster's points. Tasks sum arrays, a row for each cluster they have."""
 
@@ -77,7 +142,7 @@ def _starts(x: np.ndarray, k: int) -> list[int]:
     return picked
 
 
-def initial_centres(pts: DataFrame, k: int, one_task: int = 8_000_000) -> np.ndarray:
+def initial_centres(pts: DataFrame, k: int, one_task: int = 8_000_000, blocks: DataFrame | None = None) -> np.ndarray:
     """The lowest id, then each time the point farthest from the last centre, or the lowest unused id if that is used.
 
     While the points have at most one_task numbers, one task finds all; else there is a job for each centre, in which a
@@ -98,24 +163,29 @@ def initial_centres(pts: DataFrame, k: int, one_task: int = 8_000_000) -> np.nda
         return np.array([r["vec"] for r in rows]) if rows else np.zeros((0, 0))
     used: list = []
     centres: list[np.ndarray] = []
+    id_type = to_arrow_type(pts.schema["id"].dataType)
 
-    def search(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    blocks = _blocks(pts) if blocks is None else blocks
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         far, low = None, None
-        for p in parts:
-            free = p[~p["id"].isin(used)]
-            if len(free) and (low is None or free["id"].min() < low[0]):
-                r = free.loc[free["id"].idxmin()]
-                low = (r["id"], r["vec"])
-            if centres and len(p):
-                d = ((np.stack(p["vec"].to_numpy()) - centres[-1]) ** 2).sum(1)
-                r = p[d == d.max()].sort_values("id").iloc[0]
-                if far is None or (-d.max(), r["id"]) < far[:2]:
-                    far = (-d.max(), r["id"], r["vec"])
-        rows = [(0, far[0], far[1], far[2])] if far else []
-        yield pd.DataFrame(rows + ([(1, 0.0, low[0], low[1])] if low else []), columns=["what", "d", "id", "vec"])
+        for x, ids in _arrays(batches):
+            free = ids.filter(pc.invert(pc.is_in(ids, value_set=pa.array(used, ids.type))))
+            least = pc.min(free).as_py()
+            if least is not None and (low is None or least < low[0]):
+                low = (least, x[pc.index(ids, least).as_py()])
+            if centres:
+                d = ((x - centres[-1]) ** 2).sum(1)
+                at = np.flatnonzero(d == d.max())
+                own = min((ids[int(i)].as_py(), int(i)) for i in at) if len(at) else None
+                if own is not None and (far is None or (-d.max(), own[0]) < far[:2]):
+                    far = (-d.max(), own[0], x[own[1]])
+        rows = ([(0, *far)] if far else []) + ([(1, 0.0, *low)] if low else [])
+        what, d, own, vec = zip(*rows, strict=True) if rows else ((), (), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(what, pa.int32()), pa.array(d, pa.float64()), pa.array(own, id_type), pa.array([v.tolist() for v in vec], pa.list_(pa.float64()))], names=["what", "d", "id", "vec"])
 
     while len(centres) < k:
-        found = sorted(((r["what"], r["d"], r["id"], r["vec"]) for r in pts.select("id", "vec").mapInPandas(search, f"what int, d double, id {kind}, vec array<double>").collect()), key=lambda r: r[:3])
+        found = sorted(((r["what"], r["d"], r["id"], r["vec"]) for r in blocks.mapInArrow(search, f"what int, d double, id {kind}, vec array<double>").collect()), key=lambda r: r[:3])
         pick = next((r for r in found if r[0] == 0), None)
         if pick is None or pick[2] in used:
             pick = next((r for r in found if r[0] == 1), None)
@@ -131,23 +201,23 @@ def random_membership(pts: DataFrame, k: int) -> DataFrame:
     return pts.withColumn("cluster", F.pmod(F.xxhash64("id"), F.lit(k)).cast("int"))
 
 
-def _round(pts: DataFrame, centres: np.ndarray, before: np.ndarray | None) -> tuple[dict[int, tuple[int, np.ndarray]], int]:
-    """(cluster -> points and their mean, points in another cluster than with the centres before) in one job."""
+def _round(blocks: DataFrame, centres: np.ndarray, before: np.ndarray | None) -> tuple[dict[int, tuple[int, np.ndarray]], int]:
+    """(cluster -> points and their mean, points in another cluster than with the centres before) in one job over _blocks()."""
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, total, changed = np.zeros(len(centres), np.int64), np.zeros(centres.shape), 0
-        for p in parts:
-            if len(p):
-                x = np.stack(p["vec"].to_numpy())
-                c = _nearest(x, centres)[0]
-                changed += len(x) if before is None else int((c != _nearest(x, before)[0]).sum())
-                n += np.bincount(c, minlength=len(centres))
-                np.add.at(total, c, x)
+        for x, _ in _arrays(batches):
+            c = _nearest_fast(x, centres)
+            changed += len(x) if before is None else int((c != _nearest_fast(x, before)).sum())
+            n += np.bincount(c, minlength=len(centres))
+            one = np.zeros((len(centres), len(x)))
+            one[c, np.arange(len(x))] = 1.0
+            total += one @ x
         own = np.flatnonzero(n)
-        yield pd.DataFrame({"cluster": [-1, *own], "n": [changed, *n[own]], "total": [[], *total[own].tolist()]})
+        yield pa.RecordBatch.from_pydict({"cluster": pa.array([-1, *own], pa.int32()), "n": pa.array([changed, *n[own]], pa.int64()), "total": pa.array([[], *total[own].tolist()], pa.list_(pa.float64()))})
 
     sums, changed = {}, 0
-    for r in pts.select("vec").mapInPandas(run, "cluster int, n long, total array<double>").collect():  # k + 1 rows a task
+    for r in blocks.select("n", "d", "x").mapInArrow(run, "cluster int, n long, total array<double>").collect():  # k + 1 rows a task
         if r["cluster"] < 0:
             changed += r["n"]
         else:
@@ -161,19 +231,20 @@ def kmeans(df: DataFrame, id_col: str, vec: str, k: int, max_iter: int = 1000, t
 
     A round is one job without a shuffle: tasks send counts and sums by cluster.
     """
-    pts = cut(points(df, id_col, vec))
-    centres, before, used = initial_centres(pts, k), None, None
+    pts = points(df, id_col, vec)
+    blocks = _blocks(pts)
+    centres, before, used = initial_centres(pts, k, blocks=blocks), None, None
     if not len(centres):
         return pts.select("id", F.lit(0).alias("cluster"), F.lit(0.0).alias("dist")), centres
     for _ in range(max_iter):
         used = centres.copy()
-        means, changed = _round(pts, used, before)
+        means, changed = _round(blocks, used, before)
         for c, (_, mean) in means.items():
             centres[c] = mean
         if before is not None and changed <= tol:
             break
         before = used
-    return cut(assign(pts, used if used is not None else centres)).select("id", "cluster", "dist"), centres
+    return cut(_assigned(blocks, used if used is not None else centres)), centres
 
 
 def merge_statistics(parts: list[tuple[int, np.ndarray, np.ndarray]]) -> tuple[int, np.ndarray, np.ndarray]:

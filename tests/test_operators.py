@@ -269,3 +269,36 @@ def test_equal_baskets_of_a_part_are_searched_once(spark, monkeypatch):
         want |= {c for c, k in brute_itemsets([x for x in pairs if x[0] in own], 1).items() if k * len(baskets) >= len(own) * 100}
     assert {tuple(r["items"]) for r in itemsets.son_candidates(df, "b", "i", 100, 4).collect()} == want
     assert seen[0] <= 4 * len(random_baskets(4, n=12))
+
+
+def test_rounds_read_packed_points(spark):
+    """kmeans_full: as by Lloyd's rounds on single points, on ties and far from the origin too; starts by both ways are the same."""
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(0, 1, (300, 3)), rng.integers(-2, 3, (200, 3)).astype(float)]) + 1e6
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    pts = clustering.points(df, "id", "v")
+    starts = clustering.initial_centres(pts, 7)
+    assert (starts == clustering.initial_centres(pts, 7, one_task=0)).all()
+    assert (clustering._nearest_fast(x, starts) == clustering._nearest(x, starts)[0]).all()
+    centres = starts.copy()
+    for _ in range(1000):
+        c = clustering._nearest(x, centres)[0]
+        new = np.array([x[c == j].mean(0) if (c == j).any() else centres[j] for j in range(7)])
+        if np.allclose(new, centres, rtol=0, atol=1e-9):
+            break
+        centres = new
+    out = {r["id"]: r["cluster"] for r in clustering.kmeans(df, "id", "v", 7)[0].collect()}
+    assert [out[i] for i in range(len(x))] == c.tolist()
+
+
+def test_bfr_runs_on_packed_points(spark):
+    """bfr_clusters: its k-means runs read blocks, which hold ids of any kind."""
+    rng = np.random.default_rng(4)
+    pts = [(f"p{i}", (np.array([20.0 * (i % 3), 0.0]) + rng.normal(0, 0.5, 2)).tolist(), i // 60) for i in range(120)]
+    df = spark.createDataFrame(pts, "id string, v array<double>, chunk int")
+    assert (clustering.initial_centres(clustering.points(df, "id", "v"), 5) == clustering.initial_centres(clustering.points(df, "id", "v"), 5, one_task=0)).all()
+    table, _ = clustering.bfr(df, "id", "v", "chunk", 3)
+    groups = {}
+    for r in table.collect():
+        groups.setdefault(r["cluster"], set()).add(int(r["id"][1:]) % 3)
+    assert sorted(map(tuple, groups.values())) == [(0,), (1,), (2,)]
